@@ -16,7 +16,6 @@ columns are ignored by ``scan_benchmark`` and kept by ``without_benchmark``.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -292,6 +291,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def empty_digest() -> str:
-    """items_sha256 of a document without hits."""
-    return hashlib.sha256(b"").hexdigest()
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION_SQL = f"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+bw as (select item_id, w, least({WIDTH}, len(w)) as n, unnest(range(1, len(w) - least({WIDTH}, len(w)) + 2)) as i from b where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as t from bw),
+dw as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n),
+hit as (select distinct doc_id, i, dw.n, item_id from dw join win on dw.n = win.n and array_to_string(w[i:i + dw.n - 1], ' ') = t),
+cover as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cover on d.doc_id = cover.doc_id left join found on d.doc_id = found.doc_id
+"""

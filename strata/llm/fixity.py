@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import stored
 
-FANOUT = 64
-LEVELS = 6
+FANOUT = 256
+LEVELS = 4
 
 
 def record_header(url: str, body: str) -> Column:
@@ -53,35 +53,40 @@ def with_offsets(recs: DataFrame, span: int = 1 << 16) -> DataFrame:
     return part.join(ranges, "__range").select("position", "length", "digest", (F.col("__base") + F.coalesce(F.sum("length").over(each), F.lit(0))).cast("long").alias("offset"))
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """(node, hash) of level 0: one leaf a position."""
-    return recs.groupBy(F.col("position").alias("node")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("digest"))), 256).alias("hash"))
+def _hash_of(kids: Column) -> Column:
+    """sha256 of an array of texts in order; null for an empty one: the side has nothing here."""
+    return F.when(F.size(kids) > 0, F.sha2(F.concat_ws(",", F.array_sort(kids)), 256))
+
+
+def leaves(archive: DataFrame, replica: DataFrame) -> DataFrame:
+    """(node, hash, other_hash) of level 0: one leaf a position, hashed on either side (null: missing there)."""
+    both = archive.select("position", "digest", F.lit(True).alias("own")).unionByName(replica.select("position", "digest", F.lit(False).alias("own")))
+    listed = [F.collect_list(F.when(side, F.col("digest"))) for side in (F.col("own"), ~F.col("own"))]
+    return both.groupBy(F.col("position").alias("node")).agg(_hash_of(listed[0]).alias("hash"), _hash_of(listed[1]).alias("other_hash"))
 
 
 def level_above(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(node, hash) of the level over ``level``: at most ``fanout`` children a node."""
-    kid = F.struct(F.col("node").alias("n"), F.col("hash").alias("h"))
-    listed = F.transform(F.array_sort(F.collect_list(kid)), lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["h"]))
-    return level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(F.concat_ws(",", listed), 256).alias("hash"))
+    """The same for the level over ``level``: at most ``fanout`` children a node, hashed with their numbers."""
+    number = F.lpad(F.col("node").cast("string"), 20, "0")
+    listed = [F.collect_list(F.when(F.col(h).isNotNull(), F.concat(number, F.lit(":"), F.col(h)))) for h in ("hash", "other_hash")]
+    return level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(_hash_of(listed[0]).alias("hash"), _hash_of(listed[1]).alias("other_hash"))
 
 
-def tree(recs: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to the roots (one root where positions stay below fanout ** levels)."""
-    out = [stored(leaves(recs), "level0")]
+def trees(archive: DataFrame, replica: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> list[DataFrame]:
+    """Both sides' levels from the leaves to the roots (one root where positions stay below fanout ** levels)."""
+    out = [stored(leaves(archive, replica), "level0")]
     for k in range(levels):
         out.append(stored(level_above(out[-1], fanout), f"level{k + 1}"))
     return out
 
 
-def differing(one: list[DataFrame], other: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """node, hash, other_hash of the leaves that differ (null: missing on that side), found from the roots down."""
+def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """node, hash, other_hash of the leaves that differ, found from the roots down: a level is read only below nodes that differ."""
     found = None
-    for a, b in zip(reversed(one), reversed(other)):
-        a, b = a.select("node", "hash"), b.select("node", F.col("hash").alias("other_hash"))
+    for level in reversed(levels):
         if found is not None:
-            down = found.select(F.col("node").alias("__up"))
-            a, b = (x.join(down, F.floor(F.col("node") / fanout) == F.col("__up"), "left_semi") for x in (a, b))
-        found = a.join(b, "node", "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
+            level = level.join(found.select(F.col("node").alias("__up")), F.floor(F.col("node") / fanout) == F.col("__up"), "left_semi")
+        found = level.where(~F.col("hash").eqNullSafe(F.col("other_hash")))
     return found
 
 
@@ -91,7 +96,7 @@ def audit(archive: DataFrame, replica: DataFrame, levels: int = LEVELS, fanout:
     Offset and length are the archive's; both are null for added records.
     """
     mine, theirs = records(archive), records(replica)
-    bad = differing(tree(mine, levels, fanout), tree(theirs, levels, fanout), fanout)
+    bad = stored(differing(trees(mine, theirs, levels, fanout), fanout), "differing")
     status = F.when(F.col("other_hash").isNull(), "missing").when(F.col("hash").isNull(), "added").otherwise("altered")
     bad = bad.select(F.col("node").alias("position"), status.alias("status"))
     all_ = with_offsets(mine).join(bad, "position", "left").withColumn("status", F.coalesce("status", F.lit("intact")))

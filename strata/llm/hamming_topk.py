@@ -2,10 +2,10 @@
 
 Codes of ``bits`` bits are split into segments, each with a table of its own.
 For a query the search radius grows segment by segment. Once radius s has been
-searched in the first j of m segments and s - 1 in the others, every code up to
-distance m * s + j - 1 is certain to have been met: one farther from the query
-than that in no segment would differ in at least j * (s + 1) + (m - j) * s bits.
-The search stops when the kth verified distance is covered.
+searched in j of the m segments and s - 1 in the others, a code that wasn't met
+differs in at least s + 1 bits in each of the j and s bits in each of the others:
+every code up to distance m * s + j - 1 has been met. The search stops when the
+kth verified distance is covered.
 
 Codes are indexed in blocks of at most BLOCK different codes; each block answers
 a batch of at most QUERIES queries with its own exact top k, and the blocks'
@@ -154,7 +154,7 @@ def embedding_neighbours(embeddings: DataFrame, k: int = 10) -> DataFrame:
 
 EMBEDDING_NEIGHBOURS_SQL = """
 with c as (
-  select vec_id, list_sum(list_transform(range(1, 65), i -> case when embedding[i] > 0 then cast(1 as hugeint) << (i - 1) else cast(0 as hugeint) end)) as code
+  select vec_id, list_reduce(list_transform(range(1, 65), lambda i: case when embedding[i] > 0 then cast(1 as ubigint) << (i - 1) else cast(0 as ubigint) end), lambda a, b: a | b) as code
   from embeddings where embedding is not null and vec_id is not null
 ), d as (
   select q.vec_id as query_id, r.vec_id as neighbor_id, cast(bit_count(xor(q.code, r.code)) as integer) as distance

@@ -64,8 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-_WORDS = "list_filter(string_split_regex(regexp_replace({}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), x -> x <> '')"
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": fixity.PAGE_FIXITY_SQL, "op5_hamming_topk": hamming_topk.EMBEDDING_NEIGHBOURS_SQL}
+    return {"op1_merkle_fixity": fixity.PAGE_FIXITY_SQL, "op3_decontamination": decontam.CONTAMINATION_SQL, "op5_hamming_topk": hamming_topk.EMBEDDING_NEIGHBOURS_SQL}
