@@ -1,0 +1,3 @@
+"""Analytics over hierarchical data, on Spark DataFrames."""
+
+__version__ = "0.1.0"
