@@ -73,8 +73,8 @@ class LayerGenerator(Driver):
         known = not parents or parents[0][0] == "job"
         path = (*(parents[0] if parents else (parent,)), name)
         (self._layers if parents and known else self._waiting)[path] = count, start_at
-        for p in [p for p in self._waiting if p[0] == name and path[0] == "job"]:
-            self._layers[(*path, *p[1:])] = self._waiting.pop(p)  # what waited for this parent
+        for p in [p for p in self._waiting if p[0] == name and p != path]:  # what waited for this parent
+            (self._layers if path[0] == "job" else self._waiting)[(*path, *p[1:])] = self._waiting.pop(p)
         return self
 
     @classmethod
