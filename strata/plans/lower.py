@@ -100,6 +100,12 @@ class Execution:
         self._check_unfolds()
         self._state: dict[str, str] = {}
         self._folded: dict[str, Callable[[], int]] = {}
+        # what unfolds find on their parents travels with the children; a join brings only what is made later
+        unfolded = {n.layer for n in nodes.values() if isinstance(n, Unfold)}
+        for ref in dict.fromkeys(r for refs in self._refs.values() for r in refs):
+            n = self.resolver.node(ref.node)
+            if isinstance(n, Provider) and n.layer not in unfolded:
+                self._lower(ref.node)
         # layers come into being with unfolds: what adds cells is lowered before what looks for them
         for n in nodes.values():
             if isinstance(n, Unfold):
@@ -214,8 +220,9 @@ class Execution:
             g = self._holder(f, lambda h, ref=ref, s=s: ref in h.own and h.path.name == s.layer)
             column, mark = g.own[ref], g.ran.get(ref.node)
             if g is not f:
-                if mark is None:  # a parent cell may be missing altogether
-                    mark = f"_has_{'_'.join(g.path)}"
+                has = f"_has_{'_'.join(g.path)}"
+                if mark is None and (column not in f.df.columns or has in f.df.columns):  # joined in: a parent cell may be missing altogether
+                    mark = has
                     if mark not in g.df.columns:
                         g.df = g.df.withColumn(mark, F.lit(True))
                 self._bring(f, g, [(column, mark)])

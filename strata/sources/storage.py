@@ -137,7 +137,7 @@ class ProductStore:
         keys = [c for c in df.columns if c.startswith("k_")]
         if self.technology == "noop":
             raise StrataError("This storage has no rows")
-        before = F.struct(*keys) < F.struct(*(F.lit(row[k]) for k in keys)) if keys else F.lit(False)
+        before = F.struct(*keys) < F.struct(*(F.lit(row[k]).cast("long").alias(k) for k in keys)) if keys else F.lit(False)
         return Token(f"{self.folder}/{_safe(creator)}", product, self.technology, df.where(before).count())
 
 
