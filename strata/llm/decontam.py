@@ -236,7 +236,7 @@ def _scan_stage(known, first: bool, last: bool):
             rows = [(r[0], r[1], r[2]) for r in scanner.rows(batch.column("text"))]
             if not first:
                 before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist())
-                rows = [(n, _merged([*r, *((x["first"], x["past"]) for x in old)]), i | set(had)) for (n, r, i), (old, had) in zip(rows, before)]
+                rows = [(n, _merged([*map(tuple, r), *((x["first"], x["past"]) for x in old)]), i | set(had)) for (n, r, i), (old, had) in zip(rows, before)]
             cols = {"id": batch.column("id")} | ({} if last else {"text": batch.column("text")})
             cols["n_words"] = pa.array([r[0] for r in rows], pa.int64())
             cols["n_hit"] = pa.array([sum(e - s for s, e in r[1]) for r in rows], pa.int64())
