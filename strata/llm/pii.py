@@ -44,7 +44,7 @@ LOOSE_PHONE = r"(?<![0-9+])\+?[0-9(][\x20()./0-9-]{5,28}[0-9](?![0-9])"
 CONTEXT = (r"(?i)(tel|phone|fon|call|móvil|mobile|fax)\W*$", r"(?i)(card|visa|carte|karte|tarjeta)\W*$", r"(?i)(mail|contact|@)\W*$", r"(?i)(version|v|no|isbn|token|password|key|id)\W*=?\W*$")
 
 #: Features and their numbers of values.
-FEATURES = {"kind": 4, "digits": 21, "marks": 5, "dots": 5, "plus": 2, "before": 3, "after": 3, "context": 5, "lead": 10}
+FEATURES = {"kind": 4, "digits": 21, "marks": 5, "dots": 5, "plus": 2, "before": 3, "after": 3, "context": 5, "lead": 10, "check": 2}
 
 
 def _none() -> Column:
@@ -88,6 +88,14 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(d).between(9, 15)
 
 
+def _check(kind: int, value: Column) -> Column:
+    """Whether the number's own check holds: octets of an address, the check digit of a long number."""
+    if KINDS[kind] == "ip":
+        return _valid("ip", value)
+    d = _digits(value)
+    return F.when(F.length(d) >= 12, _luhn(d)).otherwise(False)
+
+
 def _class(ch: Column) -> Column:
     return F.when(ch.rlike(r"^[\p{L}_=\"]"), 1).when(ch.rlike("^[0-9]"), 2).otherwise(0)
 
@@ -100,7 +108,8 @@ def _candidate(kind: int, x: Column, accepted: Column) -> Column:
         F.least(d, F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(value, r"[^\x20()/-]", "")), F.lit(4)).alias("marks"),
         F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(4)).alias("dots"), F.when(value.startswith("+"), 1).otherwise(0).alias("plus"),
         _class(F.right(x["before"], F.lit(1))).alias("before"), _class(x["after"]).alias("after"), context.alias("context"),
-        F.coalesce(F.regexp_extract(value, "([0-9])", 1).try_cast("int"), F.lit(0)).alias("lead"), accepted.alias("accepted"),
+        F.coalesce(F.regexp_extract(value, "([0-9])", 1).try_cast("int"), F.lit(0)).alias("lead"),
+        _check(kind, value).cast("int").alias("check"), accepted.alias("accepted"),
     )
 
 

@@ -50,11 +50,11 @@ def test_additions_never_overlap(docs):
 
 
 def test_trees_learn_a_rule():
-    table = [(2, d, 0, 0, 0, 0, 0, 0, 4, 50 if d == 16 else 0, 2 if d == 16 else 40) for d in range(7, 21)]
+    table = [(2, d, 0, 0, 0, 0, 0, 0, 4, 1, 50 if d == 16 else 0, 2 if d == 16 else 40) for d in range(7, 21)]
     model = pii.fit_trees(table)
     import numpy as np
 
-    rows = np.array([t[:9] for t in table])
+    rows = np.array([t[:10] for t in table])
     p = 1 / (1 + np.exp(-model.margin(rows)))
     assert p[rows[:, 1] == 16][0] > 0.8 and p[rows[:, 1] != 16].max() < 0.1
     assert model.thresholds[2] <= p[rows[:, 1] == 16][0]
