@@ -27,7 +27,7 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import BLOCK_BYTES, stored
@@ -297,9 +297,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: its smallest id (of rows that repeat an id, the one with the least text). Rows without an id stay."""
+    """``docs`` with one row of each component: its smallest id (of rows that repeat an id, the first by text). Rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
     stays = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(stays, docs[id_col] == stays["__id"], "left_semi")
-    kept = kept.dropDuplicates([id_col])
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *(c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind)))
+    kept = docs.join(stays, docs[id_col] == stays["__id"], "left_semi").withColumn("__first", first).where(F.col("__first") == 1).drop("__first")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
