@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Most bytes of text that one vectorised step handles at once in a Python worker.
 BLOCK_BYTES = 1 << 20
 
+BATCH_ROWS = 1000
+
 _scratch: dict[str, str] = {}
 
 
@@ -54,6 +56,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python at most BATCH_ROWS rows at a time, so that long ones don't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fold_of(doc_id: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; null ids give null."""
     return F.crc32(F.col(doc_id).cast("string")) % parts

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import spans_of_rows, text_buffers
+from strata.llm.common import small_batches, spans_of_rows, text_buffers
 
 WIDTH = 10
 #: Most UTF-8 bytes of benchmark text in one broadcast set; more items are scanned in several passes.
@@ -207,6 +207,7 @@ def _item_sets(benchmark: DataFrame, item_col: str, text_col: str, width: int, l
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, set_bytes: int = SET_BYTES) -> DataFrame:
     """One row per document: id, n_words, ranges (of hit words), items (sorted as strings)."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     fields = "n_words long, n_hit long, ranges array<struct<first: long, past: long>>, items array<string>"
     out, sc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), docs.sparkSession.sparkContext
@@ -263,6 +264,7 @@ def cut_hits(text: str | None, scanner: Scanner, most_share: float) -> str | Non
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_share: float = 0.5) -> DataFrame:
     """``docs`` with the hit passages cut out of the texts; documents of which they are over ``most_share`` of the words go."""
+    small_batches(docs.sparkSession)
     mark, sc = "__clean", docs.sparkSession.sparkContext
     for one in _item_sets(benchmark, item_col, item_text_col, width, SET_BYTES):
         clean = _clean_udf(sc.broadcast(one), most_share)

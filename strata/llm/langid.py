@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fold_of, lowest_by_hash, sample_of, spans_of_rows, text_buffers
+from strata.llm.common import fold_of, lowest_by_hash, sample_of, small_batches, spans_of_rows, text_buffers
 
 #: Texts fetched to fit, of each language; languages with most labelled texts first.
 SAMPLE_PER_LANGUAGE = 600
@@ -149,6 +149,7 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out``: lang, score, ambiguous; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored
+from strata.llm.common import small_batches, stored
 from strata.llm.tokens import encoder, vocabulary
 
 TOKENS = 2048
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid
+from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid, small_batches
 
 #: Labelled texts of each label that may be fetched to fit the model.
 SAMPLE_PER_LABEL = 1500
@@ -124,6 +124,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with its columns and the score; a column named ``out`` is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())

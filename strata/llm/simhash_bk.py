@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import BLOCK_BYTES, stored
+from strata.llm.common import BLOCK_BYTES, small_batches, stored
 
 RADIUS = 3
 SHINGLE = 3
@@ -131,6 +131,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = fingerprints_of(batch.column(1).to_pylist(), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(each, f"id {kind}, fp long")
 

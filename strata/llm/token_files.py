@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import scratch_path
+from strata.llm.common import scratch_path, small_batches
 from strata.llm.tokens import encoder, vocabulary
 
 END = 2
@@ -49,6 +49,7 @@ def width_for(largest_id: int) -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes the files below ``path`` and returns the manifest: part, base_doc, base_token, n_docs, n_tokens, width, data, index, ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocab = tokenizer or vocabulary("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,8 +17,8 @@ import re
 import numpy as np
 import regex
 
-#: Chunks and pre-tokens remembered by one Python worker at most, each; beyond that it starts anew.
-REMEMBERED = 900_000
+#: Chunks and pre-tokens remembered by one Python worker at most, each: the first that it meets, which are the frequent ones.
+REMEMBERED = 500_000
 REMEMBERED_CHARS = 40
 
 #: The pattern that byte-level pre-tokenizers use.
@@ -91,9 +91,7 @@ class ChunkEncoder:
         if got is None:
             mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTES)
             got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
-            if len(piece) <= REMEMBERED_CHARS:
-                if len(self.by_piece) >= REMEMBERED:
-                    self.by_piece.clear()
+            if len(piece) <= REMEMBERED_CHARS and len(self.by_piece) < REMEMBERED:
                 self.by_piece[piece] = got
         return got
 
@@ -113,9 +111,7 @@ class ChunkEncoder:
             else:
                 out = list(map(self._piece, self.pattern.findall(text)))
             ids = out[0] if len(out) == 1 else b"".join(out)
-        if len(chunk) <= REMEMBERED_CHARS:
-            if len(self.by_chunk) >= REMEMBERED:
-                self.by_chunk.clear()
+        if len(chunk) <= REMEMBERED_CHARS and len(self.by_chunk) < REMEMBERED:
             self.by_chunk[chunk] = ids
         return ids
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid
+from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid, small_batches
 
 SAMPLE_PER_LABEL = 1500
 SAMPLE_MAX_CHARS = 50_000
@@ -230,6 +230,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column ``out``: score, segments, best; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, segments long, best double")
@@ -243,6 +244,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per significant passage: id, first and last word number, score, expected number by chance."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
