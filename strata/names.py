@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from strata.errors import ConfigurationError
 
@@ -123,6 +123,8 @@ class Selector:
     suffix: str | None = None
     stage: str | None = None
     type: TypeTag | None = None
+    #: Whether the function gets a structure of the cell's keys and the ``value``, rather than the value alone.
+    handle: bool = field(default=False, compare=False)
 
     def __post_init__(self):
         if self.creator == "":

@@ -77,11 +77,6 @@ class CellColumns:
         return F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")) if parts else F.lit("[]")
 
 
-def handle(*keys: str, value: str) -> Column:
-    """A value with its cell's keys, for functions that want both."""
-    return F.struct(*keys, F.col(value).alias("value"))
-
-
 def _column(key: str, suffix: str) -> str:
     return re.sub(r"\W", "_", key) + "__" + re.sub(r"\W", "_", suffix)
 
@@ -227,7 +222,7 @@ class Execution:
                         g.df = g.df.withColumn(mark, F.lit(True))
                 self._bring(f, g, [(column, mark)])
                 f.repeated[ref] = column
-            args.append(F.col(column))
+            args.append(F.struct(*g.keys, F.col(column).alias("value")) if s.handle else F.col(column))
             if mark:
                 runs.append(F.coalesce(F.col(mark), F.lit(False)))
         for p in node.when:

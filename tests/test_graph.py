@@ -343,6 +343,27 @@ def test_python_functions(spark):
     assert values(g.execute().result("iadd")) == [1] * 10
 
 
+def test_handles_carry_their_cells_keys(spark):
+    g = Graph(spark, runs(3))
+    r, e = numbered(g, "run", "r"), numbered(g)
+    g.transform("where", lambda a, b: a["k_run"] * 100 + b["k_event"] * 10 + b["value"], inputs=[S("run", "r", "number", handle=True), S("event", "input", "number", handle=True)])
+    assert values(g.execute().result("where")) == [0, 11, 22, 100, 111, 122]
+    assert r == S("run", "r", "number", handle=True) and e.handle is False
+
+
+def test_bound_methods(spark):
+    class Scaler:
+        def __init__(self, by):
+            self.by = by
+
+        def scale(self, x):
+            return x * self.by
+
+    g = Graph(spark, LayerGenerator().add_layer("event", count=3))
+    g.transform("scaled", Scaler(7).scale, inputs=[numbered(g)])
+    assert values(g.execute().result("scaled")) == [0, 7, 14]
+
+
 def test_layer_generator_counts():
     assert LayerGenerator().add_layer("spill", count=16).emitted_cell_count() == 17
     g = LayerGenerator().add_layer("spill", count=16).add_layer("APA", "spill", 16)

@@ -1,9 +1,28 @@
+import pytest
 from pyspark.sql import functions as F
 
-from strata.streaming import announced_fold, windowed_counts
+from strata.errors import StrataError
+from strata.streaming import CellTracker, announced_fold, windowed_counts
 from strata.streaming.replay import replayed_user_fold
 
 
+def test_tracker_announces_what_the_walk_leaves():
+    t = CellTracker()
+    run4, run5 = (("run", 4),), (("run", 5),)
+    spill5, spill6 = (*run4, ("spill", 5)), (*run4, ("spill", 6))
+    got = [x for c in ((), run4, spill5, spill6, (*spill6, ("subspill", 2)), run5) for x in t.enter(c)] + t.close()
+    assert got == [(spill6, {"subspill": 1}), (run4, {"spill": 2}), ((), {"run": 2})]
+    t = CellTracker()
+    with pytest.raises(StrataError, match="must be the job"):
+        t.enter(run4)
+    t.enter(())
+    with pytest.raises(StrataError, match="skips its parent"):
+        t.enter(spill5)
+    t.enter(run4)
+    with pytest.raises(StrataError, match="skips its parent"):
+        t.enter((*run5, ("spill", 1)))
+
+
 def drain(frame, path, name):
     q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{path}/c-{name}").trigger(availableNow=True).start()
     q.awaitTermination()
