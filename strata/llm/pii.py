@@ -218,7 +218,8 @@ def fit_trees(table: list[tuple], trees: int = TREES, rate: float = RATE) -> Tre
 
 def train_trees(candidates: DataFrame) -> Trees:
     """Counts all candidates (column __cand) by feature values and fits; the table's size is bounded by the features' ranges."""
-    each = candidates.select(F.explode("__cand").alias("c"))
+    # the outer form: for the plain one, Spark would compute the candidates once more, for a filter on their number
+    each = candidates.select(F.explode_outer("__cand").alias("c")).where(F.col("c").isNotNull())
     names = [F.col("c")[f].alias(f) for f in FEATURES]
     counts = each.groupBy(*names).agg(F.sum(F.col("c.accepted").cast("long")), F.sum((~F.col("c.accepted")).cast("long")))
     return fit_trees([tuple(r) for r in counts.collect()])
