@@ -35,6 +35,10 @@ from strata.llm.common import BLOCK_BYTES, small_batches, stored
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: For ``without_copies``. Texts whose five-word shingles have a similarity of 0.8 differ in some 10 of 64 bits of a
+#: fingerprint of those shingles, too many for exact search; their different words' fingerprints differ in 8 at most
+#: (98 % of such pairs in the test tables; pairs without half of their shingles in common hardly ever come so near).
+COPY_RADIUS = 8
 #: Most fingerprints of one shard in one tree.
 SHARD_LIMIT = 4096
 
@@ -86,8 +90,9 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHashes of whole texts."""
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, distinct: bool = False) -> np.ndarray:
+    """64-bit SimHashes of whole texts: of their shingles, or (``distinct``) of their different words."""
+    shingle = 1 if distinct else shingle
     out = np.zeros(len(texts), np.uint64)
     rows: list[int] = []
     parts: list[bytes] = []
@@ -107,7 +112,8 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
             out[row] = _majority(hashes[a:b])
 
     for i, t in enumerate(texts):
-        joined = b" ".join((t or "").encode("utf-8", "replace").lower().split())
+        words = (t or "").encode("utf-8", "replace").lower().split()
+        joined = b" ".join(sorted(set(words)) if distinct else words)
         if not joined:
             continue
         rows.append(i)
@@ -123,12 +129,12 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """id and fp (the fingerprint's bits as a signed long) of every row."""
 
     def each(batches):
         for batch in batches:
-            fps = fingerprints_of(batch.column(1).to_pylist(), shingle).view(np.int64)
+            fps = fingerprints_of(batch.column(1).to_pylist(), shingle, distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     small_batches(docs.sparkSession)
@@ -240,8 +246,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limit: int = SH
     masks = block_masks(radius, blocks or blocks_for(distinct.count(), radius))
     each = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]
     rows = distinct.select("fp", F.explode(F.array(*each)).alias("s")).select("fp", "s.mask", "s.part")
-    sizes = rows.groupBy("mask", "part").count().where("count > 1").select("mask", "part", F.ceil(F.col("count") / limit).cast("int").alias("chunks"))
-    rows = rows.join(sizes, ["mask", "part"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    # few shards are large: their table is written first, so that Spark knows its size and can spare the rows a shuffle
+    large = rows.groupBy("mask", "part").count().where(F.col("count") > limit).select("mask", "part", F.ceil(F.col("count") / limit).cast("int").alias("chunks"))
+    rows = rows.join(stored(large, "shards"), ["mask", "part"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     # A row meets every chunk t of its shard in the pair (least, greatest) of its own chunk and t; the lower chunk is the tree.
     rows = rows.select("mask", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))
     rows = rows.select("mask", "part", F.least("own", "t").alias("low"), F.greatest("own", "t").alias("high"), (F.col("own") > F.col("t")).cast("int").alias("role"), "fp")
@@ -278,9 +286,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """id, fp and component (the smallest id reachable through links) of every row."""
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = stored(fingerprints(docs, id_col, text_col, shingle, distinct), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(fingerprint_links(distinct.select("fp"), radius))
     # roots has a row for each linked fingerprint but the roots themselves
@@ -297,9 +305,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:
     """``docs`` with one row of each component: its smallest id (of rows that repeat an id, the first by text). Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, radius, distinct=True)
     stays = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__id")).distinct()
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *(c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind)))
     kept = docs.join(stays, docs[id_col] == stays["__id"], "left_semi").withColumn("__first", first).where(F.col("__first") == 1).drop("__first")
