@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Chunks and pre-tokens remembered by one Python worker at most, each: the first that it meets, which are the frequent ones.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 REMEMBERED_CHARS = 40
 
 #: The pattern that byte-level pre-tokenizers use.
