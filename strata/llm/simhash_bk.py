@@ -18,6 +18,11 @@ fingerprint; ties (exactly half the hashes) leave a bit at zero; rows with a
 null id get no component of their own but the smallest other id in theirs (null
 if there is none). Empty tables give empty results; extra columns are ignored by
 ``near_duplicates`` and kept by ``without_copies``.
+
+``without_copies`` takes such links as candidates only. Two texts are copies if
+the Jaccard similarity of their whole sets of five-word shingles is 0.8 or more.
+Links that span each group of near fingerprints are verified first; then every
+pair within the radius whose texts verified links don't already connect.
 """
 
 from __future__ import annotations
@@ -37,10 +42,15 @@ SHINGLE = 3
 SEED = 42
 #: For ``without_copies``. Texts whose five-word shingles have a similarity of 0.8 differ in some 10 of 64 bits of a
 #: fingerprint of those shingles, too many for exact search; their different words' fingerprints differ in 8 at most
-#: (47 of 48 such pairs of unequal texts in sf0.1; pairs without half of their shingles in common hardly ever come so near).
+#: (47 of 48 such pairs of unequal texts in sf0.1). Every such candidate is verified.
 COPY_RADIUS = 8
+COPY_SHINGLE = 5
+#: Least similarity of copies, as a fraction in whole numbers.
+COPY_SIMILARITY = (4, 5)
 #: Most fingerprints of one shard in one tree.
 SHARD_LIMIT = 4096
+#: Pairs that a search holds in memory before it hands them on.
+PAIRS_AT_ONCE = 1 << 16
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -90,15 +100,14 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, distinct: bool = False) -> np.ndarray:
-    """64-bit SimHashes of whole texts: of their shingles, or (``distinct``) of their different words."""
+def _hashes_of(texts: list[str | None], shingle: int, distinct: bool = False):
+    """(row, hashes of its shingles or different words) of every text that has words."""
     shingle = 1 if distinct else shingle
-    out = np.zeros(len(texts), np.uint64)
     rows: list[int] = []
     parts: list[bytes] = []
     size = 0
 
-    def flush() -> None:
+    def flush():
         raw = b" ".join(parts)
         spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
         starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(raw)]))
@@ -109,7 +118,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, distinct: b
         hashes = xxh64_many(raw, starts[firsts], ends[lasts] - starts[firsts])
         past = np.cumsum(counts)
         for row, a, b in zip(rows, past - counts, past):
-            out[row] = _majority(hashes[a:b])
+            yield row, hashes[a:b]
 
     for i, t in enumerate(texts):
         words = (t or "").encode("utf-8", "replace").lower().split()
@@ -120,12 +129,27 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, distinct: b
         parts.append(joined)
         size += len(joined)
         if size >= BLOCK_BYTES:
-            flush()
+            yield from flush()
             rows.clear()
             parts.clear()
             size = 0
     if parts:
-        flush()
+        yield from flush()
+
+
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, distinct: bool = False) -> np.ndarray:
+    """64-bit SimHashes of whole texts: of their shingles, or (``distinct``) of their different words."""
+    out = np.zeros(len(texts), np.uint64)
+    for row, hashes in _hashes_of(texts, shingle, distinct):
+        out[row] = _majority(hashes)
+    return out
+
+
+def shingle_sets_of(texts: list[str | None], shingle: int = COPY_SHINGLE) -> list[np.ndarray]:
+    """The different hashed shingles of whole texts; none for a text without words."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    for row, hashes in _hashes_of(texts, shingle):
+        out[row] = np.unique(hashes).view(np.int64)
     return out
 
 
@@ -225,6 +249,83 @@ def _shard_links(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+class CandidateTree:
+    """A BK-tree of fingerprints that gives every pair of texts within the radius, but those of one group and of too unlike sizes."""
+
+    def __init__(self, radius: int = COPY_RADIUS):
+        self.radius = radius
+        self.values: list[int] = []
+        self.children: list[dict[int, int]] = []
+        self.texts: list[list[tuple[int, int, int]]] = []  # (node, group, size) of the texts of each fingerprint
+        self.whole: list[int | None] = []  # the one group that a subtree lies in, or None
+
+    def search(self, value: int, group: int, size: int) -> list[tuple[int, int]]:
+        """(fingerprint, node) of every text of another group within the radius whose size allows the least similarity."""
+        out: list[tuple[int, int]] = []
+        radius, (up, down) = self.radius, COPY_SIMILARITY
+        stack = [0] if self.values else []
+        while stack:
+            k = stack.pop()
+            if self.whole[k] == group:
+                continue
+            d = (self.values[k] ^ value).bit_count()
+            if d <= radius:
+                out += [(self.values[k], n) for n, g, s in self.texts[k] if g != group and down * min(s, size) >= up * max(s, size)]
+            stack.extend(c for e, c in self.children[k].items() if -radius <= e - d <= radius)
+        return out
+
+    def add(self, value: int, node: int, group: int, size: int) -> None:
+        at = 0
+        while self.values:
+            if self.whole[at] != group:
+                self.whole[at] = None
+            d = (self.values[at] ^ value).bit_count()
+            if d == 0:
+                self.texts[at].append((node, group, size))
+                return
+            below = self.children[at].get(d)
+            if below is None:
+                self.children[at][d] = len(self.values)
+                break
+            at = below
+        self.values.append(value)
+        self.children.append({})
+        self.texts.append([(node, group, size)])
+        self.whole.append(group)
+
+
+def _shard_pairs(batches, radius: int, masks: list[int]):
+    """Rows (mask, part, low, high, role, fp, node, group, size) in shard order, then by role. A pair is given in the first of its shards only."""
+    shard, tree = None, CandidateTree(radius)
+    for batch in batches:
+        left, right, mask, differs = [], [], [], []
+
+        def given():
+            x, m, first = np.array(differs, np.uint64).view(np.int64), np.array(mask, np.int64), np.ones(len(left), bool)
+            for i, bits in enumerate(masks):
+                first &= (m <= i) | (x & np.int64(bits) != 0)
+            a, b = np.array(left, np.int64)[first], np.array(right, np.int64)[first]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+        for *key, role, fp, node, group, size in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != shard:
+                shard, tree = key, CandidateTree(radius)
+            u = fp & 0xFFFFFFFFFFFFFFFF
+            if role or key[2] == key[3]:
+                for other, n in tree.search(u, group, size):
+                    left.append(node)
+                    right.append(n)
+                    mask.append(key[0])
+                    differs.append(u ^ other)
+            if not role:
+                tree.add(u, node, group, size)
+            if len(left) >= PAIRS_AT_ONCE:
+                yield given()
+                for kept in (left, right, mask, differs):
+                    kept.clear()
+        yield given()
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Bit masks (as signed longs) of all choices of ``blocks - radius`` blocks: two fingerprints within the radius agree under at least one."""
     bounds = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -241,23 +342,35 @@ def blocks_for(n: int, radius: int = RADIUS) -> int:
     return blocks
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints (column fp, each once) are within ``radius`` of each other."""
-    masks = block_masks(radius, blocks or blocks_for(distinct.count(), radius))
+def _sharded(items: DataFrame, masks: list[int], limit: int, deal: str) -> DataFrame:
+    """``items`` (column fp, and others) once for each shard and chunk: mask, part, low, high, role, then their columns, in that order. ``deal``: the column that decides the chunk."""
     each = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]
-    rows = distinct.select("fp", F.explode(F.array(*each)).alias("s")).select("fp", "s.mask", "s.part")
+    rows = items.select("*", F.explode(F.array(*each)).alias("s")).select(*items.columns, "s.mask", "s.part")
     # few shards are large: their table is written first, so that Spark knows its size and can spare the rows a shuffle
     large = rows.groupBy("mask", "part").count().where(F.col("count") > limit).select("mask", "part", F.ceil(F.col("count") / limit).cast("int").alias("chunks"))
     rows = rows.join(stored(large, "shards"), ["mask", "part"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(deal), F.col("chunks")).cast("int"))
     # A row meets every chunk t of its shard in the pair (least, greatest) of its own chunk and t; the lower chunk is the tree.
-    rows = rows.select("mask", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))
-    rows = rows.select("mask", "part", F.least("own", "t").alias("low"), F.greatest("own", "t").alias("high"), (F.col("own") > F.col("t")).cast("int").alias("role"), "fp")
+    rows = rows.select("mask", "part", *items.columns, "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))
+    rows = rows.select("mask", "part", F.least("own", "t").alias("low"), F.greatest("own", "t").alias("high"), (F.col("own") > F.col("t")).cast("int").alias("role"), *items.columns)
     shard = ["mask", "part", "low", "high"]
-    rows = rows.repartition(*shard).sortWithinPartitions(*shard, "role", "fp")
+    return rows.repartition(*shard).sortWithinPartitions(*shard, "role", "fp")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever fingerprints (column fp, each once) are within ``radius`` of each other."""
+    masks = block_masks(radius, blocks or blocks_for(distinct.count(), radius))
+    rows = _sharded(distinct.select("fp"), masks, limit, "fp")
     return rows.mapInArrow(lambda batches: _shard_links(batches, radius), "a long, b long")
 
 
+def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
+    """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size) within ``radius``, once; none within a group, none whose sizes exclude the least similarity."""
+    masks = block_masks(radius, blocks or blocks_for(texts.count(), radius))
+    rows = _sharded(texts.select("fp", "node", "group", "size"), masks, limit, "node")
+    return rows.mapInArrow(lambda batches: _shard_pairs(batches, radius, masks), "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the smallest node that it is connected with.
 
@@ -305,10 +418,58 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def shingle_sets(texts: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """node, fp, size and shingles (different hashes) of ``texts`` (node, fp, text)."""
+
+    def each(batches):
+        for batch in batches:
+            sets = shingle_sets_of(batch.column(2).to_pylist(), shingle)
+            sizes = np.array([len(x) for x in sets], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), lists], names=["node", "fp", "size", "shingles"])
+
+    small_batches(texts.sparkSession)
+    return texts.select("node", "fp", "text").mapInArrow(each, "node long, fp long, size int, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles have the least similarity."""
+    up, down = COPY_SIMILARITY
+    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("shingles").alias(f"{c}_shingles")) for c in "ab")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("least")), "b").join(left, "a")
+    both = both.where(down * F.least("least", "a_size") >= up * F.greatest("least", "a_size")).drop("least").join(right, "b")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return both.where(down * common >= up * (F.col("a_size") + F.col("b_size") - common)).select("a", "b")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:
+    """id, key (the text's md5) and group (a number) of every row; equal texts and verified copies are connected."""
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
+    fps = stored(fingerprints(rows, "row", "text", distinct=True).select("id.id", "id.key", "fp"), "fingerprints")
+    # each different text is a node; the numbers are fixed once they are written
+    nodes = stored(fps.select("key", "fp").distinct().withColumn("node", F.monotonically_increasing_id()), "texts")
+    by_fp = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    links = stored(fingerprint_links(by_fp.select("fp"), radius).distinct(), "near")
+    near = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).unionByName(by_fp.where("n > 1").select("fp")).distinct()
+    near = stored(nodes.join(near, "fp").join(by_fp.select("fp", "first"), "fp"), "candidates")
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(near.select("key", "node", "fp"), "key").dropDuplicates(["node"])
+    sets = stored(shingle_sets(texts), "shingles")
+    # what spans the near fingerprints comes first: it connects large groups of copies without all their pairs
+    first = by_fp.select("fp", "first")
+    span = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    span = span.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().unionByName(near.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    sure = stored(verified(span, sets), "verified")
+    grouped = sets.select("node", "fp", "size").join(components(sure), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("group"), "size")
+    rest = stored(candidate_pairs(stored(grouped, "grouped"), radius), "pairs")
+    roots = components(sure.unionByName(verified(rest, sets)))
+    groups = stored(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group")), "groups")
+    return fps.join(groups, "key").select("id", "key", "group")
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: its smallest id (of rows that repeat an id, the first by text). Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, radius, distinct=True)
-    stays = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__id")).distinct()
+    """``docs`` with one row of each group of verified copies: its smallest id (of rows that repeat an id, the first by text). Rows without an id stay."""
+    stays = copies(docs, id_col, text_col, radius).groupBy("group").agg(F.min("id").alias("__id")).where(F.col("__id").isNotNull()).select("__id").distinct()
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *(c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind)))
     kept = docs.join(stays, docs[id_col] == stays["__id"], "left_semi").withColumn("__first", first).where(F.col("__first") == 1).drop("__first")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

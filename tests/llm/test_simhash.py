@@ -115,3 +115,30 @@ def test_no_documents_and_copies(spark, docs, no_docs, rows):
     assert sorted(r.doc_id for r in sh.without_copies(twice).collect()) == ids
     null = spark.createDataFrame([(None, "a b c d"), (3, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.component_id) for r in sh.near_duplicate_classes(null).collect()) == [(False, 3), (True, 3)]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_fingerprints_alone_remove_nothing(spark):
+    r = random.Random(3)
+    words = [f"w{r.getrandbits(40)}" for _ in range(60)]
+    shuffled = [" ".join(r.sample(words, 60)) for _ in range(5)]  # one fingerprint, no shingle in common
+    copy = " ".join([*shuffled[0].split(), "end"])
+    texts = [*shuffled, copy, shuffled[1]]
+    assert (sh.fingerprints_of(texts[:1], distinct=True) == sh.fingerprints_of(shuffled, distinct=True)).all()
+    assert jaccard(shuffled[0], copy) >= 0.8 > max(jaccard(a, b) for a, b in combinations(shuffled, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in sh.without_copies(df).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_candidates_are_all_pairs_between_groups(spark):
+    values = clustered(500, 4)
+    rows = [(signed(v), 10 * i + k, (10 * i + k) % 7 if i % 2 else -1, 10 + i % 4) for i, v in enumerate(values) for k in range(1 + (i % 9 == 0))]
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a, b in combinations(rows, 2) if ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= 8 and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
+    df = spark.createDataFrame(rows, "fp long, node long, group long, size int")
+    for limit, blocks in ((4096, None), (40, None), (4096, 10)):
+        got = [(r.a, r.b) for r in sh.candidate_pairs(df, 8, limit, blocks).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
