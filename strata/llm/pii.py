@@ -1,13 +1,18 @@
 """Personal data: candidates of high recall, scored by boosted trees. DataFrame functions only.
 
 Patterns propose spans of four kinds; checked patterns (the base) always stay.
-Each candidate has format and context features, small whole numbers. One native
-aggregate counts all candidates of the corpus by feature values and by whether
-the base accepts them; boosted trees are fitted on that table, whose size is
-bounded by the product of the features' ranges, and become CASE expressions.
-Candidates that the base refused are added where their calibrated score reaches
-the threshold of their kind and no chosen span overlaps them; the likelier of
-two overlapping additions wins, then the earlier, then the longer.
+Looser patterns propose more, and so do parts of refused matches: a number that
+runs on into an address or a card is also cut before that, a phone of more than
+15 digits after at most 15, a card at its last separator that leaves 12 to 19.
+Each candidate has format and context features, small whole numbers, and a label
+that no feature holds: whether its value is sound (octets, check digit, e-mail
+with its disguise removed, numbering plan) and clear of the base. One native
+aggregate counts all candidates of the corpus by feature values and label;
+boosted trees are fitted on that table, whose size is bounded by the product of
+the features' ranges, and become CASE expressions. Sound candidates outside the
+base are added where the score of their format and context reaches the threshold
+of their kind and no chosen span overlaps them; the likelier of two overlapping
+additions wins, then the earlier, then the longer.
 
 Positions are code points, end exclusive. Null text counts as empty, without
 spans; repeated rows get equal results; an empty table gives an empty result
@@ -29,7 +34,7 @@ from strata.llm.common import stored
 KINDS = ("email", "ip", "card", "phone")
 TREES = 25
 RATE = 0.3
-#: Additions of a kind need a score at which the base accepts at least this share of all candidates that reach it.
+#: Additions of a kind need a score at which at least this share of all candidates that reach it are sound.
 PRECISION = 0.9
 
 # Possessive quantifiers and the look-behind keep each pattern linear; they find what the plain forms find.
@@ -44,7 +49,12 @@ LOOSE_PHONE = r"(?<![0-9+])\+?[0-9(][\x20()./0-9-]{5,28}[0-9](?![0-9])"
 CONTEXT = (r"(?i)(tel|phone|fon|call|móvil|mobile|fax)\W*$", r"(?i)(card|visa|carte|karte|tarjeta)\W*$", r"(?i)(mail|contact|@)\W*$", r"(?i)(version|v|no|isbn|token|password|key|id)\W*=?\W*$")
 
 #: Features and their numbers of values.
-FEATURES = {"kind": 4, "digits": 21, "marks": 5, "dots": 5, "plus": 2, "before": 3, "after": 3, "context": 5, "lead": 10, "check": 2}
+FEATURES = {"kind": 4, "digits": 21, "marks": 5, "dots": 5, "plus": 2, "before": 3, "after": 3, "context": 5, "lead": 10}
+#: Parts of refused matches: at most 15 digits of a phone, 12 to 19 of a card, without splitting a run of digits.
+SHORT_PHONE = r"^([^0-9]*+[0-9](?:[^0-9]*+[0-9]){8,14})(?![0-9])"
+SHORT_CARD = r"^([0-9](?:[\x20-]?[0-9]){11,18})[\x20-]"
+#: National numbers without a plus: North American, or with a trunk prefix.
+PLAN = r"^(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|0[1-9][0-9]{7,10})$"
 
 
 def _none() -> Column:
@@ -88,12 +98,27 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(d).between(9, 15)
 
 
-def _check(kind: int, value: Column) -> Column:
-    """Whether the number's own check holds: octets of an address, the check digit of a long number."""
-    if KINDS[kind] == "ip":
-        return _valid("ip", value)
-    d = _digits(value)
-    return F.when(F.length(d) >= 12, _luhn(d)).otherwise(False)
+def _sound(kind: int, value: Column) -> Column:
+    """Whether the value itself holds, however it is written."""
+    if KINDS[kind] == "email":
+        plain = F.regexp_replace(F.regexp_replace(value, r"\x20?(?:\(at\)|\[at\])\x20?", "@"), r"\x20?(?:\(dot\)|\[dot\])\x20?", ".")
+        return plain.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})$")
+    if KINDS[kind] != "phone":
+        return _valid(KINDS[kind], value)
+    return F.when(value.startswith("+"), _valid("phone", value)).otherwise(_digits(value).rlike(PLAN))
+
+
+def _part(x: Column, value: Column) -> Column:
+    """The span of the first characters of ``x`` that ``value`` holds."""
+    own = F.length(value)
+    return F.struct(x["start"].alias("start"), (x["start"] + own).alias("end"), value.alias("value"), x["before"].alias("before"), F.substring(x["value"], own + 1, F.lit(1)).alias("after"))
+
+
+def _before_next(x: Column) -> Column:
+    """The part of ``x`` before the first address or card of the base that starts inside it."""
+    inside = F.filter("__base", lambda s: s["kind"].isin(1, 2) & (s["start"] > x["start"]) & (s["start"] < x["end"]))
+    cut = F.coalesce(F.get(inside, F.lit(0))["start"] - x["start"], F.lit(0))
+    return _part(x, F.regexp_extract(F.substring(x["value"], F.lit(1), cut), "^(.*[0-9])", 1))
 
 
 def _class(ch: Column) -> Column:
@@ -109,7 +134,7 @@ def _candidate(kind: int, x: Column, accepted: Column) -> Column:
         F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(4)).alias("dots"), F.when(value.startswith("+"), 1).otherwise(0).alias("plus"),
         _class(F.right(x["before"], F.lit(1))).alias("before"), _class(x["after"]).alias("after"), context.alias("context"),
         F.coalesce(F.regexp_extract(value, "([0-9])", 1).try_cast("int"), F.lit(0)).alias("lead"),
-        _check(kind, value).cast("int").alias("check"), accepted.alias("accepted"),
+        accepted.alias("accepted"), (_sound(kind, value) & (accepted | ~F.exists("__base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))).alias("sound"),
     )
 
 
@@ -125,25 +150,31 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = _matched(df, "__card", CARD, F.col("__digit"))
     df = _matched(df, "__phone", PHONE, plus & F.col("__digit"))
     df = _matched(df, "__loose_phone", LOOSE_PHONE, F.col("__digit"))
-    base, proposed = [], []
-
-    def of(k: int, kind: str) -> None:
-        col = f"__{kind}"
-        good = F.filter(col, lambda x: _valid(kind, x["value"]))
-        base.append(F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))))
-        wide = F.filter(col, lambda x: F.length(_digits(x["value"])) >= 7) if kind == "card" else F.col(col)
-        proposed.append(F.transform(wide, lambda x: _candidate(k, x, _valid(kind, x["value"]))))
-
-    for k, kind in enumerate(KINDS):
-        of(k, kind)
-    proposed.append(F.transform("__loose_email", lambda x: _candidate(0, x, F.lit(False))))
-    # A loose phone that the strict pattern also proposes would count twice.
-    strict = F.transform("__phone", lambda y: F.struct(y["start"], y["end"]))
-    df = df.withColumn("__strict", strict)
-    fresh = F.filter("__loose_phone", lambda x: ~F.array_contains(F.col("__strict"), F.struct(x["start"], x["end"])))
-    proposed.append(F.transform(fresh, lambda x: _candidate(3, x, F.lit(False))))
-    df = df.withColumn("__base", F.array_sort(F.concat(*base))).withColumn("__cand", F.concat(*proposed))
-    return df.drop("__text", "__digit", "__loose_email", "__loose_phone", "__strict", *(f"__{k}" for k in KINDS))
+
+    def checked(k: int, kind: str) -> Column:
+        good = F.filter(f"__{kind}", lambda x: _valid(kind, x["value"]))
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+
+    def proposed(k: int, spans: Column, strict: bool) -> Column:
+        return F.transform(spans, lambda x: _candidate(k, x, _valid(KINDS[k], x["value"]) if strict else F.lit(False)))
+
+    df = df.withColumn("__base", F.array_sort(F.concat(*(checked(k, kind) for k, kind in enumerate(KINDS)))))
+    # A loose form that the strict pattern also proposes would count twice.
+    for kind in ("email", "phone"):
+        df = df.withColumn("__strict", F.transform(f"__{kind}", lambda y: F.struct(y["start"], y["end"])))
+        df = df.withColumn(f"__loose_{kind}", F.filter(f"__loose_{kind}", lambda x: ~F.array_contains(F.col("__strict"), F.struct(x["start"], x["end"]))))
+    refused = F.concat(F.filter("__phone", lambda x: ~_valid("phone", x["value"])), F.col("__loose_phone"))
+    long = F.filter("__phone", lambda x: F.length(_digits(x["value"])) > 15)
+    parts = F.concat(F.transform(refused, _before_next), F.transform(long, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_PHONE, 1))))
+    df = df.withColumn("__phone_part", F.when(F.size(refused) > 0, F.array_distinct(F.filter(parts, lambda x: F.length(_digits(x["value"])) >= 7))).otherwise(_none()))
+    whole = F.filter("__card", lambda x: (F.length(_digits(x["value"])) > 12) & ~_valid("card", x["value"]))
+    df = df.withColumn("__card_part", F.filter(F.transform(whole, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_CARD, 1))), lambda x: x["end"] > x["start"]))
+    wide = F.filter("__card", lambda x: F.length(_digits(x["value"])) >= 7)
+    strict = [proposed(k, wide if kind == "card" else F.col(f"__{kind}"), True) for k, kind in enumerate(KINDS)]
+    fresh = F.concat("__loose_phone", F.filter("__phone_part", lambda x: ~F.exists("__loose_phone", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))))
+    loose = [proposed(k, spans, False) for k, spans in ((0, F.col("__loose_email")), (2, F.col("__card_part")), (3, fresh))]
+    df = df.withColumn("__cand", F.concat(*strict, *loose))
+    return df.drop("__text", "__digit", "__loose_email", "__loose_phone", "__phone_part", "__card_part", "__strict", *(f"__{k}" for k in KINDS))
 
 
 @dataclass
@@ -185,7 +216,7 @@ def _best_split(rows: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> t
 
 
 def fit_trees(table: list[tuple], trees: int = TREES, rate: float = RATE) -> Trees:
-    """``table``: feature values in the order of FEATURES, then accepted and refused counts."""
+    """``table``: feature values in the order of FEATURES, then counts of sound and of other candidates."""
     model, names = Trees(), list(FEATURES)
     if not table:
         return model
@@ -221,14 +252,14 @@ def train_trees(candidates: DataFrame) -> Trees:
     # the outer form: for the plain one, Spark would compute the candidates once more, for a filter on their number
     each = candidates.select(F.explode_outer("__cand").alias("c")).where(F.col("c").isNotNull())
     names = [F.col("c")[f].alias(f) for f in FEATURES]
-    counts = each.groupBy(*names).agg(F.sum(F.col("c.accepted").cast("long")), F.sum((~F.col("c.accepted")).cast("long")))
+    counts = each.groupBy(*names).agg(F.sum(F.col("c.sound").cast("long")), F.sum((~F.col("c.sound")).cast("long")))
     return fit_trees([tuple(r) for r in counts.collect()])
 
 
 def with_spans(candidates: DataFrame, model: Trees) -> DataFrame:
     """Adds __spans: (start, kind number, end) of the base and of the additions, in order."""
     bounds = F.array(*map(F.lit, model.thresholds))
-    scored = F.transform(F.filter("__cand", lambda c: ~c["accepted"]), lambda c: F.struct((-model.score(c)).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("minus"), c["kind"].alias("kind")))
+    scored = F.transform(F.filter("__cand", lambda c: ~c["accepted"] & c["sound"]), lambda c: F.struct((-model.score(c)).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("minus"), c["kind"].alias("kind")))
     over = F.array_sort(F.filter(scored, lambda c: -c["rank"] >= F.get(bounds, c["kind"])))
 
     def add(acc: Column, c: Column) -> Column:

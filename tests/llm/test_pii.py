@@ -74,3 +74,18 @@ def test_long_runs_stay_linear(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = pii.personal_data(df).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (0, 0, 0, 0)
+
+
+def test_disguised_and_run_on_data_is_added(spark):
+    ways = {
+        "phone +1 (743) 555-38{n} 10.0.0.{n} end": "+1 (743) 555-38{n}",
+        "write to jo{n} (at) mail.example (dot) com now": "jo{n} (at) mail.example (dot) com",
+        "call (743) 555-38{n} soon": "(743) 555-38{n}",
+    }
+    rows = [(i, w.format(n=10 + i // 3), v.format(n=10 + i // 3)) for i, (w, v) in enumerate(list(ways.items()) * 40)]
+    rows += [(1000 + i, f"id {i * 7919 % 10**7:07d} and date 2024-01-{10 + i % 20}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, want string")
+    found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    for i, text, want in rows:
+        added = {text[s.start : s.end] for s in found[i].spans if s not in found[i].base}
+        assert added == ({want} if want else set()), text
