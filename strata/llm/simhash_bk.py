@@ -468,8 +468,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of verified copies: its smallest id (of rows that repeat an id, the first by text). Rows without an id stay."""
-    stays = copies(docs, id_col, text_col, radius).groupBy("group").agg(F.min("id").alias("__id")).where(F.col("__id").isNotNull()).select("__id").distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, *(c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind)))
-    kept = docs.join(stays, docs[id_col] == stays["__id"], "left_semi").withColumn("__first", first).where(F.col("__first") == 1).drop("__first")
+    """``docs`` with one row of each group of verified copies: of smallest id, then of least md5 of its text. Rows without an id stay."""
+    least = copies(docs, id_col, text_col, radius).where(F.col("id").isNotNull()).groupBy("group").agg(F.min(F.struct("id", "key")).alias("row"))
+    stays = least.select(F.col("row.id").alias("__id"), F.col("row.key").alias("__key"))
+    # equal rows, or rows that differ in other columns only
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(*(c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind), F.lit(0)))
+    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__id", F.col(id_col))
+    kept = keyed.join(stays, ["__id", "__key"], "left_semi").withColumn("__first", first).where(F.col("__first") == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -142,3 +142,9 @@ def test_candidates_are_all_pairs_between_groups(spark):
     for limit, blocks in ((4096, None), (40, None), (4096, 10)):
         got = [(r.a, r.b) for r in sh.candidate_pairs(df, 8, limit, blocks).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rows = [(1, "one text of its own words", 1), (1, "another that shares nothing with it", 2), (1, "one text of its own words", 3), (2, "another that shares nothing with it", 4), (2, "a third and last one here", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    assert sorted((r.doc_id, r.text, r.n) for r in sh.without_copies(df).collect()) == sorted([rows[0], rows[1], rows[4]])
