@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import fixity as fx
@@ -65,23 +66,51 @@ def test_top_k_is_exact_with_ties_copies_and_blocks(spark):
         rows.append((i, c))
     asked = [x for x in rows if x[0] % 20 == 0]
     df, q = (spark.createDataFrame(x, "id long, code long") for x in (rows + [(5000, None)], asked + [(5001, None)]))
-    for block, batch in ((1 << 16, 4096), (300, 25)):
-        got = {tuple(x) for x in ht.top_k(df, q, 7, block=block, batch=batch).collect()}
-        assert got == brute(rows, asked, 7)
+    for shard, segments in ((1 << 14, None), (40, 5)):  # one shard a segment; several; crowded ones in chunks
+        got = [tuple(x) for x in ht.top_k(df, q, 7, shard=shard, segments=segments).collect()]
+        assert set(got) == brute(rows, asked, 7) and len(got) == 7 * len(asked)
+    twice = spark.createDataFrame(rows + rows[:50] * 3, "id long, code long")
+    assert {tuple(x) for x in ht.top_k(twice, q, 7).collect()} == brute(rows, asked, 7)
     few = spark.createDataFrame([(1, 0), (2, 3)], "id long, code long")
     assert {tuple(x) for x in ht.top_k(few, few, 5).collect()} == {(1, 2, 2, 1), (2, 1, 2, 1)}
     assert ht.top_k(df.where("false"), q, 5).count() == 0 and ht.top_k(df, q.where("false"), 5).count() == 0
 
 
-def test_search_stops_early_and_is_covered():
+def test_large_index_answers_from_its_tables(spark, monkeypatch):
+    """20,000 codes through ``top_k``: exact, and the codes that the tables give are a small part of all."""
     import numpy as np
 
     g = np.random.default_rng(1)
-    codes = np.unique(g.integers(0, 1 << 63, 20_000, dtype=np.uint64))
-    index, weight = ht.MultiIndex(codes), np.ones(len(codes), int)
-    target = codes[17] ^ np.uint64(5)
-    found = index.search(target, 1, weight)
-    assert len(found) < len(codes) / 10 and 17 in found
+    codes = g.integers(-(1 << 63), 1 << 63, 20_000).tolist()
+    for i in range(0, 20_000, 500):  # a group around each query
+        for n in range(1, 13):
+            codes[i + n] = codes[i] ^ sum(1 << int(b) for b in g.choice(63, n % 6, replace=False))
+    rows = list(enumerate(codes))
+    asked = rows[::500]
+    df, q = (spark.createDataFrame(x, "id long, code long") for x in (rows, asked))
+    got = {tuple(x) for x in ht.top_k(df, q, 10, shard=1 << 10).collect()}
+    assert got == brute(rows, asked, 10)
+    split = ht.Segments(20_000)
+    assert len(split) == 4 and split.covered(1) == 7
+    index = ht.Shard(split, 0, np.array(codes, np.int64).view(np.uint64))
+    met = sum(len(index.met(np.int64(c).astype(np.uint64), 0, s)) for _, c in asked for s in (0, 1))
+    assert met < 20_000 * len(asked) / 100
+
+
+def test_probes_cover_every_distance():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    for m, shard in ((4, 4), (5, 64), (7, 1 << 14)):
+        split = ht.Segments(4096, shard, m)
+        query = g.integers(0, 1 << 63, dtype=np.uint64)
+        for d in range(0, 12):
+            code = query
+            for b in g.choice(64, d, replace=False):
+                code ^= np.uint64(1) << np.uint64(b)
+            radius = min(s for s in range(65) if split.covered(s) >= d)
+            found = [j for j in range(m) for s in range(radius + 1) if len(ht.Shard(split, j, np.array([code])).met(query, int(split.lead(code, j)), s))]
+            assert found
 
 
 def test_sign_codes(spark):
@@ -89,3 +118,5 @@ def test_sign_codes(spark):
     got = {r.vec_id: r.code for r in df.select("vec_id", ht.sign_code("embedding").alias("code")).collect()}
     assert got == {1: 1 - (1 << 63), 2: None, 3: 2}
     assert df.select(F.lit(1)).count() == 3
+    with pytest.raises(Exception, match="64 elements"):
+        spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>").select(ht.sign_code("embedding")).collect()
