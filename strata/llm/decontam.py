@@ -6,10 +6,16 @@ hashes are computed in vector form over whole texts; the rare hash hits are
 verified word by word. Hits mark word spans, which are removed, or condemn the
 whole document.
 
+A benchmark whose set would outgrow SET_BYTES is dealt into several sets, scanned
+one after another; driver and workers hold one at a time. All hits of a text are
+merged before anything is cut or judged, so that the number of sets changes
+nothing.
+
 A word is a run of digits, letters and non-ASCII characters, A-Z lower-cased. A
 window is ``width`` consecutive words of an item; an item with fewer words, but
 not none, is one window. Null and empty texts have no words. Ties: a window of
-several items counts for each of them. Repeated rows get equal results. Empty
+several items counts for each of them. An item without an id is named None.
+Repeated rows get equal results. Empty
 tables: no documents give an empty result, no items leave all clean. Extra
 columns are ignored by ``scan_benchmark`` and kept by ``without_benchmark``.
 """
@@ -17,17 +23,20 @@ columns are ignored by ``scan_benchmark`` and kept by ``without_benchmark``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import small_batches, spans_of_rows, text_buffers
+from strata.llm.common import small_batches, spans_of_rows, stored, text_buffers
 
 WIDTH = 10
-#: Most UTF-8 bytes of benchmark text in one broadcast set; more items are scanned in several passes.
-SET_BYTES = 64 << 20
+#: Most bytes of one broadcast set (one item's windows are never parted).
+SET_BYTES = 256 << 20
+#: Bytes of the set for a byte of benchmark text, at most: at one word of one byte every two bytes.
+SET_SHARE = 12
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -95,13 +104,23 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class WindowSet:
-    width: int
-    hashes: dict[int, np.ndarray]  # by window length: sorted hashes
-    windows: dict[tuple[int, int], list[tuple[bytes, tuple[str, ...]]]]  # (length, hash): text and the items that have it
+    """The windows of some items, as places in the items' words: 16 bytes a window, and the words once."""
+
+    names: list[str]
+    texts: list[bytes]  # of each item: its words, joined by spaces
+    words: list[np.ndarray]  # where each word begins there, and one past the last
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by window length: sorted hashes, item and first word of each
 
-    @property
-    def lengths(self) -> list[int]:
-        return sorted(self.hashes)
+    def having(self, width: int, hashed: np.uint64, text: bytes) -> set[str]:
+        """Names of the items that have this very window."""
+        hashes, items, firsts = self.tables[width]
+        a, b = np.searchsorted(hashes, hashed, side="left"), np.searchsorted(hashes, hashed, side="right")
+        out = set()
+        for i, first in zip(items[a:b].tolist(), firsts[a:b].tolist()):
+            at = self.words[i]
+            if self.texts[i][at[first] : at[first + width] - 1] == text:
+                out.add(self.names[i])
+        return out
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -114,21 +133,25 @@ def normal_words(text: str | None) -> list[bytes]:
 
 def window_set(items: list[tuple[object, str | None]], width: int = WIDTH) -> WindowSet:
     """Of bounded (item id, text) pairs."""
-    owners: dict[tuple[bytes, ...], set[str]] = {}
+    out = WindowSet([], [], [], {})
+    parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for item, text in items:
-        ws = normal_words(text)
-        n = min(width, len(ws))
-        for i in range(len(ws) - n + 1 if n else 0):
-            owners.setdefault(tuple(ws[i : i + n]), set()).add(str(item))
-    hashes: dict[int, list[int]] = {}
-    windows: dict[tuple[int, int], list[tuple[bytes, tuple[str, ...]]]] = {}
-    for words, items_of in owners.items():
+        words = normal_words(text)
+        if not words:
+            continue
         raw = np.frombuffer(b" ".join(words), dtype=np.uint8)
         starts, ends = word_bounds(raw)
-        h = int(window_hashes(word_hashes(raw, starts, ends), len(words))[0])
-        hashes.setdefault(len(words), []).append(h)
-        windows.setdefault((len(words), h), []).append((b" ".join(words), tuple(sorted(items_of))))
-    return WindowSet(width, {n: np.unique(np.array(h, np.uint64)) for n, h in hashes.items()}, windows)
+        n, number = min(width, len(words)), len(out.names)
+        h = window_hashes(word_hashes(raw, starts, ends), n)
+        parts.setdefault(n, []).append((h, np.full(len(h), number, np.int32), np.arange(len(h), dtype=np.int32)))
+        out.names.append(str(item))
+        out.texts.append(raw.tobytes())
+        out.words.append(np.append(starts, len(raw) + 1).astype(np.int32))
+    for n, found in parts.items():
+        h, number, first = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(h, kind="stable")
+        out.tables[n] = h[order], number[order], first[order]
+    return out
 
 
 def _in_sorted(h: np.ndarray, table: np.ndarray, coarse: np.ndarray) -> np.ndarray:
@@ -144,13 +167,13 @@ class Scanner:
 
     def __init__(self, known: WindowSet):
         self.known, self.coarse = known, {}
-        for n, table in known.hashes.items():
+        for n, (table, *_) in known.tables.items():
             bits = np.zeros(1 << 20, dtype=bool)
             bits[(table >> np.uint64(44)).astype(np.int64)] = True
             self.coarse[n] = bits
 
     def rows(self, column: pa.Array):
-        """For each row: number of words, hit words as (first, past last) word ranges, matching items, and byte ranges of the hits."""
+        """For each row: number of words, the hits as merged (first, past last word, first, past last byte), and the items they are of."""
         data, offsets = text_buffers(column)
         for a, b in spans_of_rows(offsets):
             yield from self._block(data, offsets[a : b + 1])
@@ -167,124 +190,110 @@ class Scanner:
         row = np.searchsorted(begins, starts, side="right") - 1
         firsts = np.searchsorted(row, np.arange(n + 1))
         hashes = word_hashes(padded, starts, ends)
-        hits: dict[int, list[tuple[int, int, tuple[str, ...]]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
         raw = None
-        for width in self.known.lengths:
+        for width in sorted(self.known.tables):
             h = window_hashes(hashes, width)
             if not len(h):
                 continue
-            for i in _in_sorted(h, self.known.hashes[width], self.coarse[width]).tolist():
+            for i in _in_sorted(h, self.known.tables[width][0], self.coarse[width]).tolist():
                 if row[i] != row[i + width - 1]:
                     continue
                 raw = padded.tobytes() if raw is None else raw
                 text = b" ".join(raw[starts[k] : ends[k]] for k in range(i, i + width))
-                for known, items in self.known.windows[width, int(h[i])]:
-                    if known == text:
-                        hits.setdefault(int(row[i]), []).append((i, i + width, items))
+                if names := self.known.having(width, h[i], text):
+                    hits.setdefault(int(row[i]), []).append((i, i + width))
+                    items.setdefault(int(row[i]), set()).update(names)
         for r in range(n):
-            first = int(firsts[r])
-            words, ranges, items, where = int(firsts[r + 1]) - first, [], set(), []
-            for s, e, of in sorted(hits.get(r, ())):
-                items.update(of)
-                if ranges and s - first <= ranges[-1][1]:
-                    ranges[-1][1] = max(ranges[-1][1], e - first)
-                else:
-                    ranges.append([s - first, e - first])
-            for s, e in ranges:
-                where.append((int(starts[first + s] - begins[r]), int(ends[first + e - 1] - begins[r])))
-            yield words, ranges, items, where
-
-
-def _item_sets(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int):
-    """Window sets of at most ``limit`` bytes of text each: a table of proven small size gives one."""
-    cols = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    total = cols.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-int(total) // limit))
-    for k in range(passes):
-        part = cols if passes == 1 else cols.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield window_set([(r["item"], r["text"]) for r in part.collect()], width)
+            first, begin = int(firsts[r]), int(begins[r])
+            found = [(s - first, e - first, int(starts[s]) - begin, int(ends[e - 1]) - begin) for s, e in hits.get(r, ())]
+            yield int(firsts[r + 1]) - first, merged(found), items.get(r, set())
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, set_bytes: int = SET_BYTES) -> DataFrame:
-    """One row per document: id, n_words, ranges (of hit words), items (sorted as strings)."""
-    small_batches(docs.sparkSession)
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    fields = "n_words long, n_hit long, ranges array<struct<first: long, past: long>>, items array<string>"
-    out, sc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), docs.sparkSession.sparkContext
-    sets = list(_item_sets(benchmark, item_col, item_text_col, width, set_bytes))
-    for k, one in enumerate(sets):
-        last = k == len(sets) - 1
-        out = out.mapInArrow(_scan_stage(sc.broadcast(one), k == 0, last), f"id {kind}, " + ("" if last else "text string, ") + fields)
-    return out.withColumnRenamed("id", id_col)
-
-
-def _merged(ranges) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(ranges):
+def merged(ranges) -> list[tuple[int, int, int, int]]:
+    """Hits (first, past last word, first, past last byte) in order, those that meet or overlap as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for s, e, begin, end in sorted(ranges):
         if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2], max(out[-1][3], end))
         else:
-            out.append([s, e])
+            out.append((s, e, begin, end))
     return out
 
 
-def _scan_stage(known, first: bool, last: bool):
-    """One pass with one set; a later pass adds to what the passes before found and one worker holds one set at a time."""
-
-    def scan(batches):
-        scanner = Scanner(known.value)
-        for batch in batches:
-            rows = [(r[0], r[1], r[2]) for r in scanner.rows(batch.column("text"))]
-            if not first:
-                before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist())
-                rows = [(n, _merged([*map(tuple, r), *((x["first"], x["past"]) for x in old)]), i | set(had)) for (n, r, i), (old, had) in zip(rows, before)]
-            cols = {"id": batch.column("id")} | ({} if last else {"text": batch.column("text")})
-            cols["n_words"] = pa.array([r[0] for r in rows], pa.int64())
-            cols["n_hit"] = pa.array([sum(e - s for s, e in r[1]) for r in rows], pa.int64())
-            cols["ranges"] = pa.array([[{"first": s, "past": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())])))
-            cols["items"] = pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    return scan
-
-
-def cut_hits(text: str | None, scanner: Scanner, most_share: float) -> str | None:
-    """``text`` without its hit passages; None if they are over ``most_share`` of its words."""
-    words, ranges, _, where = next(scanner.rows(pa.array([text or ""])))
-    if not ranges:
-        return text
-    if sum(e - s for s, e in ranges) > most_share * words:
-        return None
+def without_ranges(text: str, ranges) -> str:
+    """``text`` without the merged hits."""
     raw, kept, at = text.encode("utf-8", "replace"), [], 0
-    for s, e in where:
-        kept.append(raw[at:s])
-        at = e
+    for _, _, begin, end in ranges:
+        kept.append(raw[at:begin])
+        at = end
     return b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_share: float = 0.5) -> DataFrame:
+_RANGES = "array<struct<first: long, past: long, begin: long, end: long>>"
+_FOUND = f"struct<n_words: long, n_hit: long, ranges: {_RANGES}, items: array<string>, rest: string>"
+_RANGE_TYPE = pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "past", "begin", "end")]))
+
+
+def _finder(known, cut: bool):
+    """The hits of one set in texts, merged with those that ``before`` holds; with ``cut``, also what is left of a text with hits."""
+
+    def find(texts: pa.Array, before: pa.Array) -> pa.Array:
+        scanner, cols = Scanner(known.value), ([], [], [], [], [])
+        values = texts.to_pylist() if cut else None
+        for i, ((words, ranges, items), had) in enumerate(zip(scanner.rows(texts), before.to_pylist())):
+            for old in had or ():
+                ranges += [(x["first"], x["past"], x["begin"], x["end"]) for x in old["ranges"]]
+                items = items | set(old["items"])
+            ranges = merged(ranges)
+            each = (words, sum(e - s for s, e, *_ in ranges), [dict(zip(("first", "past", "begin", "end"), x)) for x in ranges], sorted(items), without_ranges(values[i], ranges) if cut and ranges else None)
+            for c, x in zip(cols, each):
+                c.append(x)
+        kinds = (pa.int64(), pa.int64(), _RANGE_TYPE, pa.list_(pa.string()), pa.string())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["n_words", "n_hit", "ranges", "items", "rest"])
+
+    return F.arrow_udf(find, _FOUND)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, out: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, cut: bool = False, set_bytes: int = SET_BYTES) -> DataFrame:
+    """``docs`` with a struct column ``out``: n_words, n_hit, ranges (of hit words and their bytes), items (sorted as strings), rest (with ``cut``: a hit text without its hits)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    cols = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    total = cols.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    sets = max(1, -(-int(total) * SET_SHARE // set_bytes))
+
+    def shared(k: int):
+        part = cols if sets == 1 else cols.where(F.pmod(F.xxhash64("text"), F.lit(sets)) == k)
+        return spark.sparkContext.broadcast(window_set([(r["item"], r["text"]) for r in part.collect()], width))
+
+    none = F.lit(None).cast(f"array<struct<ranges: {_RANGES}, items: array<string>>>")
+    if sets == 1:
+        return docs.withColumn(out, _finder(shared(0), cut)(F.col(text_col), none))
+    # Hits depend on the text alone: each set but the last leaves a table of the hit texts, by their digest, and is let go.
+    hits = []
+    for k in range(sets - 1):
+        known = shared(k)
+        found = docs.select(F.md5(text_col).alias("__key"), _finder(known, False)(F.col(text_col), none).alias("f")).where("f.n_hit > 0")
+        hits.append(stored(found.select("__key", "f.ranges", "f.items").dropDuplicates(["__key"]), "hits"))
+        known.destroy()
+    before = reduce(DataFrame.unionByName, hits).groupBy("__key").agg(F.collect_list(F.struct("ranges", "items")).alias("__before"))
+    joined = docs.withColumn("__key", F.md5(text_col)).join(before, "__key", "left")
+    return joined.withColumn(out, _finder(shared(sets - 1), cut)(F.col(text_col), F.col("__before"))).drop("__key", "__before")
+
+
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, set_bytes: int = SET_BYTES) -> DataFrame:
+    """One row per document: id, n_words, n_hit, ranges (of hit words and their bytes), items (sorted as strings)."""
+    found = with_hits(docs.select(id_col, text_col), benchmark, "__found", text_col, item_col, item_text_col, width, set_bytes=set_bytes)
+    return found.select(id_col, *(f"__found.{c}" for c in ("n_words", "n_hit", "ranges", "items")))
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_share: float = 0.5, set_bytes: int = SET_BYTES) -> DataFrame:
     """``docs`` with the hit passages cut out of the texts; documents of which they are over ``most_share`` of the words go."""
-    small_batches(docs.sparkSession)
-    mark, sc = "__clean", docs.sparkSession.sparkContext
-    for one in _item_sets(benchmark, item_col, item_text_col, width, SET_BYTES):
-        clean = _clean_udf(sc.broadcast(one), most_share)
-        docs = docs.withColumn(mark, clean(F.col(text_col))).where(F.col(mark)["kept"]).withColumn(text_col, F.col(mark)["text"]).drop(mark)
-    return docs
-
-
-def _clean_udf(known, most_share: float):
-    @F.pandas_udf("text string, kept boolean")
-    def clean(texts):
-        import pandas as pd
-
-        scanner, out = Scanner(known.value), []
-        values = texts.tolist()
-        for t, (_, ranges, _, _) in zip(values, scanner.rows(pa.array(values, pa.large_string()))):
-            new = cut_hits(t, scanner, most_share) if ranges else t
-            out.append((new, not ranges or new is not None))
-        return pd.DataFrame(out, columns=["text", "kept"])
-
-    return clean
+    found = with_hits(docs, benchmark, "__found", text_col, item_col, item_text_col, width, True, set_bytes)
+    kept = found.where(F.col("__found.n_hit") <= most_share * F.col("__found.n_words"))
+    return kept.withColumn(text_col, F.coalesce("__found.rest", text_col)).drop("__found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
