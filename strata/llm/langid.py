@@ -2,10 +2,14 @@
 
 Each language gets a codeword; one binary classifier per bit weighs hashed byte
 n-grams (naive-Bayes log-odds between the languages on either side of the bit).
-A text's margins, one per bit, are averaged over the whole text, and the
-codeword of least exponential loss wins. The score is the winner's share of
+A text's margins, one per bit, are averaged over the whole text (fenced: no
+n-gram crosses from one text into another), and the codeword of least exponential loss wins. The score is the winner's share of
 exp(-loss); a small lead over the runner-up flags ambiguity.
 
+Every language that a labelled text has is learned, each from at most
+SAMPLE_PER_LANGUAGE texts, those of smallest hashed id; languages beyond
+MOST_LANGUAGES are an error, as the weights would outgrow a worker.
+
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the
 alphabetically first language; repeated rows get equal results; extra columns
 are ignored; an empty table gives an empty result. Without labelled text every
@@ -22,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fold_of, lowest_by_hash, sample_of, small_batches, spans_of_rows, text_buffers
+from strata.llm.common import BLOCK_BYTES, fold_of, lowest_by_group, sample_of, small_batches, spans_of_rows, stored, text_buffers
 
-#: Texts fetched to fit, of each language; languages with most labelled texts first.
+#: Texts fetched to fit, of each language. Of each, SAMPLE_CHARS code points from its middle are learned from (not a bound on predictions).
 SAMPLE_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
-SAMPLE_MAX_CHARS = 20_000
+SAMPLE_CHARS = 20_000
+#: More are refused: a table of TABLE_BITS and a bit for each language would be too large to share.
+MOST_LANGUAGES = 300
 TABLE_BITS = 16
 ORDERS = (2, 3, 4)
 #: Added to each n-gram count.
@@ -68,10 +73,17 @@ def codewords(k: int) -> np.ndarray:
     return h[1 : k + 1, 1:]
 
 
+PAD = max(ORDERS) - 1
+
+
 def grams(data: np.ndarray) -> list[np.ndarray]:
-    """For each order, the table slot of the n-gram that starts at each byte; zero bytes pad the end."""
-    b = np.concatenate([_FOLD[data], np.zeros(3, np.uint32)])
-    n = len(data)
+    """For each order, the table slot of the n-gram that starts at each byte of one text; zero bytes pad the end."""
+    return _grams(np.concatenate([_FOLD[data], np.zeros(PAD, np.uint32)]))
+
+
+def _grams(b: np.ndarray) -> list[np.ndarray]:
+    """The same for folded bytes with PAD more behind them."""
+    n = len(b) - PAD
     packed, out = b[:n].copy(), []
     for order in range(2, max(ORDERS) + 1):
         packed = packed << np.uint32(8) | b[order - 1 : order - 1 + n]
@@ -106,17 +118,18 @@ def margins_of(model: LanguageModel, column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), model.weights.shape[1]))
     for a, b in spans_of_rows(offsets):
         part = data[offsets[a] : offsets[b]]
-        starts, lengths = offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1])
+        lengths = np.diff(offsets[a : b + 1])
+        # each text with PAD zero bytes behind it, so that its last n-grams end with it
+        fenced = np.zeros(len(part) + PAD * (b - a), np.uint32)
+        own = np.arange(len(part)) + PAD * np.repeat(np.arange(b - a), lengths)
+        fenced[own] = _FOLD[part]
         full = np.flatnonzero(lengths)
         if not len(full):
             continue
-        for i in range(0, len(part), 1 << 20) if b - a == 1 else [0]:
-            piece = part[i : i + (1 << 20) + 3] if b - a == 1 else part
-            own = min(len(piece), len(part) - i, 1 << 20) if b - a == 1 else len(piece)
-            rows = np.zeros((own, model.weights.shape[1]), dtype=np.float32)
-            for g in grams(piece):
-                rows += model.weights.take(g[:own], axis=0)
-            out[a + full] += np.add.reduceat(rows, starts[full] if b - a > 1 else [0], axis=0)
+        for i in range(0, len(fenced) - PAD, BLOCK_BYTES) if b - a == 1 else [0]:  # a very long text in pieces
+            at = slice(None) if b - a == 1 else own
+            rows = sum(model.weights.take(g[at], axis=0) for g in _grams(fenced[i : i + BLOCK_BYTES + PAD] if b - a == 1 else fenced))
+            out[a + full] += np.add.reduceat(rows, (offsets[a:b] - offsets[a])[full] if b - a > 1 else [0], axis=0, dtype=np.float64)
         out[a + full] /= lengths[full][:, None] * len(ORDERS)
     return out
 
@@ -135,16 +148,14 @@ def decode(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep=None) -> LanguageModel:
-    """Fits on at most SAMPLE_PER_LANGUAGE texts of each of at most MAX_LANGUAGES languages."""
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_MAX_CHARS))
+    """Fits on at most SAMPLE_PER_LANGUAGE texts of each language."""
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     known = known.where(keep) if keep is not None else known
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    picked = None
-    for lang in langs:
-        some = lowest_by_hash(known.where(F.col("lang") == lang), "id", SAMPLE_PER_LANGUAGE)
-        picked = some if picked is None else picked.unionByName(some)
-    return fit_language(sample_of(docs, picked, id_col, text_col) if picked is not None else [])
+    picked = stored(lowest_by_group(known, "id", "lang", SAMPLE_PER_LANGUAGE), "sample")
+    if (n := picked.agg(F.countDistinct("lang")).first()[0]) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} can be learned")
+    return fit_language(sample_of(docs, picked, id_col, text_col, SAMPLE_CHARS))
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
