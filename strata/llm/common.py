@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most bytes of text that one vectorised step handles at once in a Python worker.
@@ -68,14 +68,24 @@ def fold_of(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
-def sample_of(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> list[tuple[str, object]]:
-    """(text, label) of the picked ids, in id order. ``picked`` (id, label) is bounded by its caller's limit."""
+def sample_of(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, chars: int) -> list[tuple[str, object]]:
+    """(text, label) of the picked ids, in id order (null: empty); of a longer text, ``chars`` code points from its middle. ``picked`` (id, label) is bounded by its caller's limit."""
     p = picked.select(F.col(picked.columns[0]).alias("__id"), F.col(picked.columns[1]).alias("__label"))
-    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
-    rows = d.join(F.broadcast(p), "__id").select("__id", "__text", "__label").collect()
+    d = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    middle = F.substring("__text", F.greatest(F.lit(1), F.floor((F.length("__text") - chars) / 2) + 1).cast("int"), F.lit(chars))
+    rows = d.join(F.broadcast(p), "__id").select("__id", middle.alias("__text"), "__label").collect()
     return [(r["__text"], r["__label"]) for r in sorted(rows, key=lambda r: (r["__id"], r["__text"]))]
 
 
+def lowest_by_group(df: DataFrame, id_col: str, group: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each group, those whose hashed id is smallest, as (id, group): the same ones on every run.
+
+    Each task keeps its own ``n`` first (a window group limit), so that a large group is nowhere gathered.
+    """
+    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
+    return df.select(id_col, group).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+
+
 def lowest_by_hash(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """At most ``n`` rows, those whose hashed id is smallest: the same ones on every run."""
     return df.orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(n)
@@ -103,22 +113,24 @@ def spans_of_rows(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tup
         a = b
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic regression, by Newton's method with halved steps."""
+def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 60, share: float = 0.5) -> np.ndarray:
+    """Weights (intercept first) of a ridge logistic regression, by Newton's method with halved steps. Label 1 has ``share`` of the weight, however many rows each label has."""
     x = np.hstack([np.ones((len(features), 1)), features])
     w = np.zeros(x.shape[1])
+    own = labels.mean()
+    each = np.where(labels > 0, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9))
     penalty = np.full(x.shape[1], ridge * max(1, len(x)))
     penalty[0] = 1e-6
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
-        return float(np.logaddexp(0, z).sum() - labels @ z + 0.5 * (penalty * v * v).sum())
+        return float(each @ (np.logaddexp(0, z) - labels * z) + 0.5 * (penalty * v * v).sum())
 
     now = loss(w)
     for _ in range(steps):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - labels) + penalty * w
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (each * (p - labels)) + penalty * w
+        hessian = (x * (each * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         size = 1.0
         while (then := loss(w - size * step)) > now and size > 1e-6:

@@ -5,12 +5,13 @@ rated text. A text is compressed with both, in blocks, whole; the normalised
 difference of the two sizes, with the text's own redundancy, goes through a
 logistic calibration fitted on labelled texts that built no dictionary.
 
-Null and empty texts compress to nothing: they get the share of good labels as
-their score. Ties and repeated rows get equal scores. An empty table gives an
-empty result; extra columns are ignored by ``score_quality`` and kept by
-``with_quality``. Without labels of both kinds every score is the share of good
-labels (0.5 if there are none). Both labels weigh alike in the fit: the score is
-calibrated for as many good as bad texts.
+Both labels weigh alike in the fit, however many rows each has: the score is
+calibrated for as many good as bad texts. Null and empty texts compress to
+nothing: their score says how much commoner such texts are among the good ones
+than among the bad ones of the sample (0.5 if it has none). Ties and repeated
+rows get equal scores. An empty table gives an empty result; extra columns are
+ignored by ``score_quality`` and kept by ``with_quality``. With fewer than four
+texts of either label every score is that of an empty text.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql.types import DoubleType
 
 from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid, small_batches
 
-#: Labelled texts of each label that may be fetched to fit the model.
+#: Labelled texts of each label that may be fetched to fit the model, and code points (from the middle) of each. Texts are scored whole.
 SAMPLE_PER_LABEL = 1500
-#: Longer texts build no model (they are scored like any other).
-SAMPLE_MAX_CHARS = 50_000
-DICTIONARY_BYTES = 1 << 18
+SAMPLE_CHARS = 50_000
+#: Every second sampled text of a label gives an equal share of its dictionary, from its middle.
+DICTIONARY_BYTES = 1 << 16
 BLOCK = 1024
 LEVEL = 6
 
@@ -41,7 +42,7 @@ class QualityModel:
     weights: tuple[float, ...]
     centre: tuple[float, ...]
     scale: tuple[float, ...]
-    prior: float
+    empty: float
 
 
 class _Sizes:
@@ -85,10 +86,9 @@ def _dictionary(texts: list[str]) -> bytes:
 def fit_quality(sample: list[tuple[str, int]]) -> QualityModel:
     """The model of a bounded list of (text, label 0 or 1). Every second text of a label builds its dictionary, the others calibrate."""
     by = {y: [t for t, label in sample if label == y and t] for y in (0, 1)}
-    known = len(by[0]) + len(by[1])
-    prior = (len(by[1]) + 0.5) / (known + 1)
-    model = QualityModel(b"", b"", (), (), (), prior)
-    if min(len(by[0]), len(by[1])) < 2:
+    bad, good = ((sum(label == y for _, label in sample) - len(by[y]) + 0.5) / (sum(label == y for _, label in sample) + 1) for y in (0, 1))
+    model = QualityModel(b"", b"", (), (), (), good / (good + bad))
+    if min(len(by[0]), len(by[1])) < 4:
         return model
     model.good, model.bad = (_dictionary(by[y][::2]) for y in (1, 0))
     sizes = _Sizes(model)
@@ -102,7 +102,7 @@ def fit_quality(sample: list[tuple[str, int]]) -> QualityModel:
 
 def quality_of(model: QualityModel, texts) -> np.ndarray:
     """Scores 0 to 1 of texts (None: empty)."""
-    out = np.full(len(texts), model.prior)
+    out = np.full(len(texts), model.empty)
     if not model.weights:
         return out
     sizes, w = _Sizes(model), np.array(model.weights)
@@ -118,8 +118,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     lab = lab.where(keep) if keep is not None else lab
     lab = lab.select(F.col(id_col), F.col(label_col)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     picked = [lowest_by_hash(lab.where(F.col(label_col) == y), id_col, SAMPLE_PER_LABEL) for y in (0, 1)]
-    short = docs.where(F.length(text_col) <= SAMPLE_MAX_CHARS)
-    return fit_quality(sample_of(short, picked[0].unionByName(picked[1]), id_col, text_col))
+    return fit_quality(sample_of(docs, picked[0].unionByName(picked[1]), id_col, text_col, SAMPLE_CHARS))
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:

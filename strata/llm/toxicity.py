@@ -10,7 +10,9 @@ The text's score is a logistic calibration of its segments' bit scores.
 
 Null and empty texts have no segments and get the score of such texts. Ties and
 repeated rows get equal results; extra columns are ignored; an empty table gives
-an empty result. Without labels of both kinds no word weighs anything.
+an empty result. Without labels of both kinds no word weighs anything. In the
+calibration the labels weigh as they do among all labelled rows, whatever the
+sample's bounds leave of them.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import fold_of, logistic, lowest_by_hash, sample_of, sigmoid, small_batches
 
+#: Labelled texts of each label that may be fetched to fit the model, and code points (from the middle) of each. Texts are scored whole.
 SAMPLE_PER_LABEL = 1500
-SAMPLE_MAX_CHARS = 50_000
+SAMPLE_CHARS = 20_000
 #: Total weight of the Dirichlet prior, spread as the words of all sampled text are.
 PRIOR_WEIGHT = 500.0
 #: Log-odds count only beyond so many standard deviations; weaker words score BACKGROUND.
@@ -201,8 +204,8 @@ def _fit_words(texts: dict[int, list[list[str]]]) -> ToxicityModel:
     return model
 
 
-def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
-    """The model of a bounded list of (text, label 0 or 1). Each half of the texts calibrates the words learned from the other."""
+def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None) -> ToxicityModel:
+    """The model of a bounded list of (text, label 0 or 1); ``share``: of label 1 where the sample comes from (None: as in the sample). Each half of the texts calibrates the words learned from the other."""
     texts = {y: [WORDS.findall(t.lower()) for t, label in sample if label == y and t] for y in (0, 1)}
     if len(texts[0]) < 2 or len(texts[1]) < 2:
         return ToxicityModel()
@@ -214,7 +217,7 @@ def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
                 rows.append(_features(_significant(part, t)))
                 labels.append(y)
     model = _fit_words(texts)
-    model.weights = tuple(map(float, logistic(np.array(rows), np.array(labels, dtype=float), ridge=1e-2)))
+    model.weights = tuple(map(float, logistic(np.array(rows), np.array(labels, dtype=float), ridge=1e-2, share=float(np.mean(labels)) if share is None else share)))
     return model
 
 
@@ -223,9 +226,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lab = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     lab = lab.where(keep) if keep is not None else lab
     lab = lab.select(F.col(id_col), F.col(label_col)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    n = {r[0]: r[1] for r in lab.groupBy(label_col).count().collect()}
+    share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
     picked = [lowest_by_hash(lab.where(F.col(label_col) == y), id_col, SAMPLE_PER_LABEL) for y in (0, 1)]
-    short = docs.where(F.length(text_col) <= SAMPLE_MAX_CHARS)
-    return fit_toxicity(sample_of(short, picked[0].unionByName(picked[1]), id_col, text_col))
+    return fit_toxicity(sample_of(docs, picked[0].unionByName(picked[1]), id_col, text_col, SAMPLE_CHARS), share)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:

@@ -123,3 +123,83 @@ def test_codewords_and_margins():
     assert [model.languages[b] for b in best] == ["en", "en"] and np.all(share > 0.34) and np.all(lead > 0)
     one = li.fit_language([("a b", "en")])
     assert li.decode(one, li.margins_of(one, pa.array(["x"])))[0].tolist() == [0]
+
+
+def plain_margins(model, text):
+    """n-gram by n-gram, over one text."""
+    raw = text.encode().lower()
+    folded = bytes(32 if b < 65 or 91 <= b < 97 or 123 <= b < 128 else b for b in raw) + bytes(3)
+    total = np.zeros(model.weights.shape[1])
+    for i in range(len(raw)):
+        for order, factor in ((2, 0x9E3779B1), (3, 0x85EBCA77), (4, 0xC2B2AE3D)):
+            slot = ((int.from_bytes(folded[i : i + order], "big") + order) * factor & 0xFFFFFFFF) >> 16
+            total += model.weights[slot]
+    return total / max(1, 3 * len(raw))
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    model = li.fit_language([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chien et le chat", "fr"), ("los gatos y que perro", "es")])
+    texts = ["der", "zzz", "le chat", "que los", "a", "éé", "the dog and", "", "DER Hund!", "x" * 50] * 3
+    whole = li.margins_of(model, pa.array(texts))
+    for i, t in enumerate(texts):
+        assert np.array_equal(whole[i], li.margins_of(model, pa.array([t]))[0])
+        assert whole[i] == pytest.approx(plain_margins(model, t), abs=1e-5)
+    df = spark.createDataFrame(list(enumerate(["der", "zzz", "der", "que los", "der"])), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r.language for r in li.with_language(df, model).collect()}
+    assert rows[0] == rows[2] == rows[4] and rows[0].lang == "de"
+
+
+def test_ambiguous_texts_are_flagged(spark):
+    model = li.fit_language([("aaaa bbbb " * 30, "x"), ("cccc dddd " * 30, "y")])
+    df = spark.createDataFrame([(1, "aaaa bbbb aaaa"), (2, "aaaa cccc aaaa cccc"), (3, "zq")], "doc_id long, text string")
+    got = {r.doc_id: r.language for r in li.with_language(df, model).collect()}
+    assert got[1].lang == "x" and not got[1].ambiguous and got[2].ambiguous and got[3].ambiguous
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, "le chien et le chat " * 20, "fr") for i in range(50)] + [(100, "der hund und die katze " * 2000, "de"), (101, None, "xx"), (102, "", "yy"), (103, "mots", None)]
+    model = li.train_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "fr"]
+
+
+def test_toxicity_score_plainly():
+    """Segments by their definition, expected numbers, and the calibration, word by word."""
+    sample = [(f"plain w{i} stand x{i} here y{i} z{i} there words", 0) for i in range(200)] + [(f"plain w{i} nasty x{i} stand here y{i} foul z{i} there", 1) for i in range(60)]
+    model = tx.fit_toxicity(sample)
+    for text in ("plain words " * 30 + "nasty foul nasty, " + "plain words " * 5 + "Foul!", "nasty", "plain", "", "here there nasty " * 20):
+        tokens = text.split()
+        found = [model.factor * len(tokens) * np.exp(-model.decay * s) for *_, s in segments([model.token_weight(t) for t in tokens])]
+        bits = [-np.log(e) for e in found if e <= tx.MOST_EXPECTED]
+        w = model.weights
+        want = 1 / (1 + np.exp(-(w[0] + w[1] * np.log1p(max(bits, default=0)) + w[2] * np.log1p(sum(bits)))))
+        score, n, _ = tx.toxicity_of(model, text)
+        assert score == pytest.approx(want, abs=1e-9) and n == len(bits)
+    assert tx.toxicity_of(model, "plain nasty foul there")[0] > tx.toxicity_of(model, "plain there")[0] == tx.toxicity_of(model, None)[0]
+
+
+def test_quality_score_plainly():
+    import zstandard
+
+    sample = [(f"a sound sentence number {i} about rivers and old towns {i * 7}", 1) for i in range(40)] + [(f"buy now {i} click click click $$$ {i * 3}", 0) for i in range(12)] + [("", 0)] * 3
+    model = q.fit_quality(sample)
+    assert model.empty < 0.3
+    texts = ["a sound sentence number 99 about rivers and old towns 693", "buy now 77 click click click $$$ 231", "x", None, ""]
+    got = q.quality_of(model, texts)
+    for t, score in zip(texts[:3], got):
+        raw, sizes = t.encode(), []
+        for content in (model.good, model.bad):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=q.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + q.BLOCK])) for i in range(0, len(raw), q.BLOCK)))
+        d, r = (sizes[1] - sizes[0]) / sum(sizes), np.log(min(sizes) / len(raw))
+        z = (np.array([d, r, r * r, d * r, d * d]) - model.centre) / model.scale
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + z @ np.array(model.weights[1:])))), abs=1e-6)
+    assert got[0] > 0.5 > got[1] and got[3] == got[4] == model.empty
+
+
+def test_both_labels_weigh_alike():
+    from strata.llm.common import logistic
+
+    x, y = np.array([[0.0], [1.0], [0.0], [1.0]]), np.array([0, 0, 1, 1.0])
+    many = logistic(np.vstack([x, np.repeat(x[2:], 50, axis=0)]), np.append(y, np.ones(100)), ridge=0.0)
+    assert many == pytest.approx(logistic(x, y, ridge=0.0), abs=1e-4)
