@@ -1,15 +1,15 @@
 """Best-fit packing with several capacities.
 
 Documents are tokenized whole and end with a separator id; only documents longer
-than a sequence are cut. A bin (sequence) has three capacities: tokens, pieces,
-and attention cost (the sum of squared piece lengths). Pieces are placed largest
-first into the open bin, among those with room under every capacity, whose
+than a sequence are cut. A bin (sequence) has three capacities: tokens, pieces
+(PIECES), and attention cost, the sum of squared piece lengths (ATTENTION times
+the squared token capacity; a single piece that costs more can't be divided and
+gets a bin of its own). Pieces are placed largest first into the open bin, among those with room under every capacity, whose
 weighted residual vector has the smallest norm after placing (``rule="norm"``)
 or the largest dot product with the piece (``rule="dot"``).
 
-Pieces are dealt out evenly by a hash of their place in the corpus, some
-PIECES_PER_TASK to a task; each task packs its own bins, so what is lost to
-partly filled bins is about one bin a task. Full pieces fill their bin alone.
+Pieces are dealt out evenly, in turn, some PIECES_PER_TASK to a task; each task
+packs its own bins, so what is lost to partly filled bins is about one bin a task.
 
 Null and empty texts are one piece, the separator. Ties go to the bin opened
 first, and equal pieces are placed in order of id and piece. Repeated rows and
@@ -31,7 +31,10 @@ from strata.llm.common import small_batches, stored
 from strata.llm.tokens import encoder, vocabulary
 
 TOKENS = 2048
-PIECES = 1024
+#: Most pieces of a sequence. It costs sequences only where pieces have under TOKENS / PIECES = 16 tokens on average.
+PIECES = 128
+#: Most attention cost of a sequence of several pieces, as a share of the squared token capacity.
+ATTENTION = 15 / 16
 PIECES_PER_TASK = 20_000
 WEIGHTS = (1.0, 0.05, 0.02)
 SEPARATOR = 0
@@ -71,13 +74,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
 
 
 def best_fit(lengths: np.ndarray, tokens: int = TOKENS, most_pieces: int = PIECES, attention: float | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each piece. ``lengths`` must not exceed ``tokens``; pieces are placed largest first, equal ones in order."""
-    attention = float(tokens) ** 2 if attention is None else float(attention)
+    """Bin number and offset of each piece. ``lengths`` must not exceed ``tokens``; pieces are placed largest first, equal ones in order.
+
+    ``attention``: most sum of squared lengths (None: ATTENTION of the squared capacity); a longer piece is alone in its bin.
+    """
+    attention = ATTENTION * float(tokens) ** 2 if attention is None else float(attention)
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n:
         return bins, offsets
-    if lengths.max() > tokens or (float(lengths.max()) ** 2 > attention) or most_pieces < 1:
+    if lengths.max() > tokens or most_pieces < 1:
         raise ValueError("a piece exceeds the capacity of an empty bin")
     order = np.argsort(-lengths, kind="stable")
     room = max(64, n // 4)
@@ -135,7 +141,8 @@ def pack(parts: DataFrame, tokens: int = TOKENS, most_pieces: int = PIECES, atte
         yield from table.to_batches(max_chunksize=10_000)
 
     schema = ", ".join(f"`{k}` {v}" for k, v in parts.dtypes) + ", sequence_id long, offset long"
-    dealt = parts.repartition(tasks, F.xxhash64("id", "piece", "start", "ids_crc32")).sortWithinPartitions("id", "piece", "ids_crc32")
+    # in turn, not by a hash: equal rows, however many, are spread like others
+    dealt = parts.repartition(tasks).sortWithinPartitions("id", "piece", "ids_crc32")
     return dealt.mapInArrow(each, schema)
 
 

@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
-``write_tokens`` encodes documents in ascending id order and writes, for each
-range of ids, a file of little-endian unsigned integers (as narrow as the
+``write_tokens`` encodes documents where they are, sorts their narrow ids by
+document id, and writes, for each range, a file of little-endian unsigned integers (as narrow as the
 vocabulary allows) and a file of 64-bit document offsets within it. Each
 range's place in the whole corpus comes from prefix sums over the ranges' totals;
 only those totals, one row a range, reach the driver. ``read_tokens`` maps the
@@ -12,7 +12,8 @@ Parquet table written when all ranges are done, names the ones that count, so a
 lost executor or a repeated attempt leaves nothing half-written in use.
 
 Null and empty texts are the end id alone. Rows that share an id follow each
-other, ordered by text; null ids come first. An empty table gives an empty
+other, in the order of a hash of their token ids, and may lie in several ranges,
+so that an id of very many rows is no hot one; null ids come first. An empty table gives an empty
 manifest and an empty result. Extra columns are ignored. Ids that the unsigned
 type can't hold raise an error.
 """
@@ -28,11 +29,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import scratch_path, small_batches
+from strata.llm.common import scratch_path, small_batches, stored
 from strata.llm.tokens import encoder, vocabulary
 
 END = 2
-#: Most bytes of text in one range of documents.
+#: Bytes of token ids that a range is meant to have.
 RANGE_BYTES = 64 << 20
 _FLUSH = 8 << 20
 
@@ -52,31 +53,48 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     small_batches(spark)
     vocab = tokenizer or vocabulary("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-int(size) // range_bytes), spark.sparkContext.defaultParallelism)
     kind = dict(rows.dtypes)["id"]
+    width = width_for(max(encoder(vocab).tokenizer.get_vocab_size() - 1, end))
+
+    def encode(batches):
+        enc, stop = encoder(vocab), np.array([end], width).tobytes()
+        for batch in batches:
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                held, size, first = [], 0, at
+                while at < len(texts) and size < _FLUSH:
+                    raw = enc.encode_one(texts[at])
+                    held.append((raw if width == "<u4" else np.frombuffer(raw, "<u4").astype(width).tobytes()) + stop)
+                    size += len(held[-1])
+                    at += 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(held, pa.binary())], names=["id", "ids"])
+
+    encoded = rows.mapInArrow(encode, f"id {kind}, ids binary").withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    encoded = stored(encoded, "encoded")
+    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    ranges = max(1, -(-int(size) // range_bytes), spark.sparkContext.defaultParallelism)
 
     def write(batches):
         filesystem, root = _opened(path)
         filesystem.create_dir(root, recursive=True)
-        enc = encoder(vocab)
-        width = width_for(max(enc.tokenizer.get_vocab_size() - 1, end))
-        stop = np.array([end], width).tobytes()
         stem = f"{root}/{uuid.uuid4().hex}"
-        offsets, ids, total, first = [0], [], 0, True
-        data, held = None, []
+        offsets, ids, total, lowest = [0], [], 0, None
+        data, held, bytes_held = None, [], 0
+        each = np.dtype(width).itemsize
         for batch in batches:
-            if first and batch.num_rows:
-                data, first = filesystem.open_output_stream(stem + ".ids"), False
-            for text in batch.column(1).to_pylist():
-                raw = enc.encode_one(text)
-                held.append((raw if width == "<u4" else np.frombuffer(raw, "<u4").astype(width).tobytes()) + stop)
-                total += len(raw) // 4 + 1
+            if lowest is None and batch.num_rows:
+                data = filesystem.open_output_stream(stem + ".ids")
+                lowest = [batch.column(c).slice(0, 1) for c in ("id", "hash", "row")]
+            for raw in batch.column("ids").to_pylist():
+                held.append(raw)
+                bytes_held += len(raw)
+                total += len(raw) // each
                 offsets.append(total)
-                if len(held) >= 4096 or len(held[-1]) > _FLUSH:
+                if bytes_held > _FLUSH:
                     data.write(b"".join(held))
                     held.clear()
-            ids.append(batch.column(0))
+                    bytes_held = 0
+            ids.append(batch.column("id"))
         if data is None:
             return
         data.write(b"".join(held))
@@ -87,13 +105,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             for a in ids:
                 sink.write_batch(pa.RecordBatch.from_arrays([a], names=["id"]))
         name = stem.rsplit("/", 1)[1]
-        lowest = pa.array([ids[0][0].as_py()], ids[0].type)
-        yield pa.RecordBatch.from_arrays([lowest, pa.array([len(offsets) - 1]), pa.array([total]), pa.array([width]), pa.array([name])], names=["lowest", "n_docs", "n_tokens", "width", "name"])
+        yield pa.RecordBatch.from_arrays([*lowest, pa.array([len(offsets) - 1]), pa.array([total]), pa.array([width]), pa.array([name])], names=["lowest", "hash", "row", "n_docs", "n_tokens", "width", "name"])
 
-    dealt = rows.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text")
-    done = dealt.mapInArrow(write, f"lowest {kind}, n_docs long, n_tokens long, width string, name string").collect()
+    order = ["id", "hash", "row"]
+    dealt = encoded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    done = dealt.mapInArrow(write, f"lowest {kind}, hash long, row long, n_docs long, n_tokens long, width string, name string").collect()
     parts, doc, token = [], 0, 0
-    for k, r in enumerate(sorted(done, key=lambda r: (r["lowest"] is not None, r["lowest"]))):
+    for k, r in enumerate(sorted(done, key=lambda r: ((0,) if r["lowest"] is None else (1, r["lowest"]), r["hash"], r["row"]))):
         parts.append((k, doc, token, r["n_docs"], r["n_tokens"], r["width"], r["name"]))
         doc, token = doc + r["n_docs"], token + r["n_tokens"]
     manifest = spark.createDataFrame(parts, "part int, base_doc long, base_token long, n_docs long, n_tokens long, width string, name string")

@@ -5,7 +5,9 @@ pre-token, both for byte-level and for word-end vocabularies, so a text falls
 into chunks (a space and what follows up to the next one) whose ids don't depend
 on each other. Chunks recur, and so do the pre-tokens in them: the ids of both
 are remembered, in bounded tables, and only new pre-tokens go through the
-library's merge model. Files of other kinds go through the library whole.
+library's merge model. Ids are those of the library's own ``encode`` of the whole
+text without special tokens around it: texts that hold the string of an added
+token, and files of other kinds, go through the library whole.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.by_chunk: dict[str, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
@@ -119,6 +122,8 @@ class ChunkEncoder:
         """Ids of a text (None: empty) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added is not None and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts = self.chunks(text)
         found = list(map(self.by_chunk.get, parts))
         if None in found:
