@@ -19,10 +19,19 @@ null id get no component of their own but the smallest other id in theirs (null
 if there is none). Empty tables give empty results; extra columns are ignored by
 ``near_duplicates`` and kept by ``without_copies``.
 
-``without_copies`` takes such links as candidates only. Two texts are copies if
-the Jaccard similarity of their whole sets of five-word shingles is 0.8 or more.
-Links that span each group of near fingerprints are verified first; then every
-pair within the radius whose texts verified links don't already connect.
+``without_copies`` takes links as candidates only. Two texts are copies if the
+Jaccard similarity of their whole sets of five-word shingles is 0.8 or more, and
+every pair that is joined has been verified or is connected by verified ones.
+Such texts' fingerprints differ in more bits than blocks of bits could shard for
+a large corpus, so its trees are sharded by the shingles themselves: a text is
+in SLOTS shards, each named by its smallest shingle hash under an order of its
+own, whatever the size of the corpus. Texts of similarity s share no shard with
+probability (1 - s) ** SLOTS: under 3 in a million at 0.8. First the links that
+span each shard's near fingerprints are verified; then every pair of a shard
+within the radius whose texts verified links don't already connect. For that,
+shards that lie in one group are done; one of over SHARD_TEXTS texts is sharded
+once more by a second set of orders, and what is still larger is dealt out in
+chunks, where a large group's chunks never meet each other.
 """
 
 from __future__ import annotations
@@ -40,17 +49,24 @@ from strata.llm.common import BLOCK_BYTES, small_batches, stored
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: For ``without_copies``. Texts whose five-word shingles have a similarity of 0.8 differ in some 10 of 64 bits of a
-#: fingerprint of those shingles, too many for exact search; their different words' fingerprints differ in 8 at most
-#: (47 of 48 such pairs of unequal texts in sf0.1). Every such candidate is verified.
-COPY_RADIUS = 8
+#: For ``without_copies``: fingerprints of the different words, which in texts of similar shingles differ least. Texts of five-word
+#: similarity 0.8 share at least some 0.9 of their words by cosine, so that their fingerprints differ in 9 bits of 64 by
+#: expectation, with a deviation of 2.8; the radius adds over two of these.
+COPY_RADIUS = 16
 COPY_SHINGLE = 5
+#: Shards of each text, and most texts of one before it is sharded again or dealt out.
+SLOTS = 8
+SHARD_TEXTS = 1024
 #: Least similarity of copies, as a fraction in whole numbers.
 COPY_SIMILARITY = (4, 5)
 #: Most fingerprints of one shard in one tree.
 SHARD_LIMIT = 4096
 #: Pairs that a search holds in memory before it hands them on.
 PAIRS_AT_ONCE = 1 << 16
+#: Parts in which the rows of a join on a hub of very many links are spread.
+SALTS = 16
+#: Two sets of SLOTS orders of hashes: multiplication by odd numbers, taken from the golden ratio.
+_ORDERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3) | 1) & (1 << 64) - 1 for i in range(2 * SLOTS)], np.uint64)
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -259,9 +275,9 @@ class CandidateTree:
         self.texts: list[list[tuple[int, int, int]]] = []  # (node, group, size) of the texts of each fingerprint
         self.whole: list[int | None] = []  # the one group that a subtree lies in, or None
 
-    def search(self, value: int, group: int, size: int) -> list[tuple[int, int]]:
-        """(fingerprint, node) of every text of another group within the radius whose size allows the least similarity."""
-        out: list[tuple[int, int]] = []
+    def search(self, value: int, group: int, size: int) -> list[int]:
+        """Every text of another group within the radius whose size allows the least similarity."""
+        out: list[int] = []
         radius, (up, down) = self.radius, COPY_SIMILARITY
         stack = [0] if self.values else []
         while stack:
@@ -270,7 +286,7 @@ class CandidateTree:
                 continue
             d = (self.values[k] ^ value).bit_count()
             if d <= radius:
-                out += [(self.values[k], n) for n, g, s in self.texts[k] if g != group and down * min(s, size) >= up * max(s, size)]
+                out += [n for n, g, s in self.texts[k] if g != group and down * min(s, size) >= up * max(s, size)]
             stack.extend(c for e, c in self.children[k].items() if -radius <= e - d <= radius)
         return out
 
@@ -294,38 +310,52 @@ class CandidateTree:
         self.whole.append(group)
 
 
-def _shard_pairs(batches, radius: int, masks: list[int]):
-    """Rows (mask, part, low, high, role, fp, node, group, size) in shard order, then by role. A pair is given in the first of its shards only."""
+def _shard_pairs(batches, radius: int):
+    """Rows (shard, low, high, role, fp, node, group, size) in that order. Role 0 goes into the tree, and searches it where low is high; role 1 only searches."""
     shard, tree = None, CandidateTree(radius)
     for batch in batches:
-        left, right, mask, differs = [], [], [], []
+        left, right = [], []
 
         def given():
-            x, m, first = np.array(differs, np.uint64).view(np.int64), np.array(mask, np.int64), np.ones(len(left), bool)
-            for i, bits in enumerate(masks):
-                first &= (m <= i) | (x & np.int64(bits) != 0)
-            a, b = np.array(left, np.int64)[first], np.array(right, np.int64)[first]
+            a, b = np.array(left, np.int64), np.array(right, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for *key, role, fp, node, group, size in zip(*(c.to_pylist() for c in batch.columns)):
             if key != shard:
                 shard, tree = key, CandidateTree(radius)
             u = fp & 0xFFFFFFFFFFFFFFFF
-            if role or key[2] == key[3]:
-                for other, n in tree.search(u, group, size):
-                    left.append(node)
-                    right.append(n)
-                    mask.append(key[0])
-                    differs.append(u ^ other)
+            if role or key[1] == key[2]:
+                near = tree.search(u, group, size)
+                left += [node] * len(near)
+                right += near
             if not role:
                 tree.add(u, node, group, size)
             if len(left) >= PAIRS_AT_ONCE:
                 yield given()
-                for kept in (left, right, mask, differs):
-                    kept.clear()
+                left.clear()
+                right.clear()
         yield given()
 
 
+def _shard_spans(batches, radius: int):
+    """Rows (shard, chunk, fp, node) in that order: links that connect the near fingerprints of a chunk, at most one for each text and component."""
+    shard, tree, same = None, LinkedTree(radius), {}
+    for batch in batches:
+        left, right = [], []
+        for *key, fp, node in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != shard:
+                shard, tree, same = key, LinkedTree(radius), {}
+            if fp in same:  # the tree holds each fingerprint once
+                left.append(node)
+                right.append(same[fp])
+                continue
+            same[fp] = node
+            for other in tree.add(fp & 0xFFFFFFFFFFFFFFFF):
+                left.append(node)
+                right.append(same[other - (1 << 64) if other >> 63 else other])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Bit masks (as signed longs) of all choices of ``blocks - radius`` blocks: two fingerprints within the radius agree under at least one."""
     bounds = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -342,17 +372,17 @@ def blocks_for(n: int, radius: int = RADIUS) -> int:
     return blocks
 
 
-def _sharded(items: DataFrame, masks: list[int], limit: int, deal: str) -> DataFrame:
-    """``items`` (column fp, and others) once for each shard and chunk: mask, part, low, high, role, then their columns, in that order. ``deal``: the column that decides the chunk."""
+def _sharded(distinct: DataFrame, masks: list[int], limit: int) -> DataFrame:
+    """Each fingerprint once for each shard and chunk: mask, part, low, high, role, fp, in that order."""
     each = [F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]
-    rows = items.select("*", F.explode(F.array(*each)).alias("s")).select(*items.columns, "s.mask", "s.part")
+    rows = distinct.select("fp", F.explode(F.array(*each)).alias("s")).select("fp", "s.mask", "s.part")
     # few shards are large: their table is written first, so that Spark knows its size and can spare the rows a shuffle
     large = rows.groupBy("mask", "part").count().where(F.col("count") > limit).select("mask", "part", F.ceil(F.col("count") / limit).cast("int").alias("chunks"))
     rows = rows.join(stored(large, "shards"), ["mask", "part"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(deal), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     # A row meets every chunk t of its shard in the pair (least, greatest) of its own chunk and t; the lower chunk is the tree.
-    rows = rows.select("mask", "part", *items.columns, "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))
-    rows = rows.select("mask", "part", F.least("own", "t").alias("low"), F.greatest("own", "t").alias("high"), (F.col("own") > F.col("t")).cast("int").alias("role"), *items.columns)
+    rows = rows.select("mask", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("t"))
+    rows = rows.select("mask", "part", F.least("own", "t").alias("low"), F.greatest("own", "t").alias("high"), (F.col("own") > F.col("t")).cast("int").alias("role"), "fp")
     shard = ["mask", "part", "low", "high"]
     return rows.repartition(*shard).sortWithinPartitions(*shard, "role", "fp")
 
@@ -360,15 +390,58 @@ def _sharded(items: DataFrame, masks: list[int], limit: int, deal: str) -> DataF
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
     """Links (a, b) that connect whatever fingerprints (column fp, each once) are within ``radius`` of each other."""
     masks = block_masks(radius, blocks or blocks_for(distinct.count(), radius))
-    rows = _sharded(distinct.select("fp"), masks, limit, "fp")
+    rows = _sharded(distinct.select("fp"), masks, limit)
     return rows.mapInArrow(lambda batches: _shard_links(batches, radius), "a long, b long")
 
 
-def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_LIMIT, blocks: int | None = None) -> DataFrame:
-    """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size) within ``radius``, once; none within a group, none whose sizes exclude the least similarity."""
-    masks = block_masks(radius, blocks or blocks_for(texts.count(), radius))
-    rows = _sharded(texts.select("fp", "node", "group", "size"), masks, limit, "node")
-    return rows.mapInArrow(lambda batches: _shard_pairs(batches, radius, masks), "a long, b long")
+def _by_key(texts: DataFrame, keys: str, *within: str) -> DataFrame:
+    """Each row once for each of its keys, with ``shard``: the key and its slot (and those of ``within``) as one number; shards of one group only are left out."""
+    rows = texts.select("*", F.posexplode(keys).alias("__slot", "__key")).drop(keys)
+    rows = rows.withColumn("__shard", F.xxhash64(*within, "__slot", "__key")).drop("__slot", "__key", *within).withColumnRenamed("__shard", "shard")
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("__low"), F.max("group").alias("__high"))
+    return rows.join(sizes.where("__low < __high").select("shard", "n"), "shard")
+
+
+def spanning_links(sharded: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
+    """Links (a, b) between near nodes of the rows (shard, n, fp, node). A large shard's chunks are apart, but differ from slot to slot."""
+    chunk = F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("n") / limit)).alias("chunk")
+    rows = sharded.select("shard", chunk, "fp", "node").repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "fp", "node")
+    return rows.mapInArrow(lambda batches: _shard_spans(batches, radius), "a long, b long")
+
+
+def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
+    """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size, keys, more_keys) that share a shard and are within ``radius``; none within a group, none whose sizes exclude the least similarity. Pairs may repeat."""
+    cols = ["fp", "node", "group", "size"]
+    rows = stored(_by_key(texts.select(*cols, "keys"), "keys"), "shards")
+    small = rows.where(F.col("n") <= limit).select("shard", *cols)
+    again = rows.where(F.col("n") > limit).select("shard", *cols).join(texts.select("node", "more_keys"), "node")
+    again = stored(_by_key(again, "more_keys", "shard"), "more_shards")
+    small = small.unionByName(again.where(F.col("n") <= limit).select("shard", *cols))
+    zero = F.lit(0).cast("long")
+    small = small.select("shard", zero.alias("low"), zero.alias("high"), F.lit(0).alias("role"), *cols)
+    # What is large even so is dealt out in chunks of one large group each, or of all the rest, and the chunks meet in pairs.
+    large = again.where(F.col("n") > limit)
+    sizes = large.groupBy("shard", "group").count().withColumn("own", F.when(F.col("count") > limit, F.col("group")))
+    sizes = sizes.groupBy("shard", "own").agg(F.ceil(F.sum("count") / limit).alias("chunks"))
+    sizes = stored(sizes, "chunks")
+    chunks = sizes.select("shard", "own", F.explode(F.sequence(F.lit(1).cast("long"), "chunks")).alias("t")).select("shard", "own", F.xxhash64("own", "t").alias("chunk"))
+    low, high = (chunks.select("shard", F.col("own").alias(f"{c}_own"), F.col("chunk").alias(c)) for c in ("low", "high"))
+    meet = low.join(high, "shard").where((F.col("low") <= F.col("high")) & (F.col("low_own").isNull() | F.col("high_own").isNull() | (F.col("low_own") != F.col("high_own")))).select("shard", "low", "high")
+    parts = large.join(sizes.where("own is not null").select("shard", F.col("own").alias("group"), F.col("chunks").alias("mine")), ["shard", "group"], "left")
+    parts = parts.join(sizes.where("own is null").select("shard", F.col("chunks").alias("rest")), "shard", "left")
+    parts = parts.select("shard", *cols, F.xxhash64(F.when(F.col("mine").isNotNull(), F.col("group")), F.pmod(F.xxhash64("node"), F.coalesce("mine", "rest")) + 1).alias("chunk"))
+    ends = meet.select("shard", F.col("low").alias("chunk"), "low", "high", F.lit(0).alias("role")).unionByName(meet.where("low <> high").select("shard", F.col("high").alias("chunk"), "low", "high", F.lit(1).alias("role")))
+    parts = parts.join(ends, ["shard", "chunk"]).select("shard", "low", "high", "role", *cols)
+    shard = ["shard", "low", "high"]
+    dealt = small.unionByName(parts).repartition(*shard).sortWithinPartitions(*shard, "role", "fp", "node")
+    return dealt.mapInArrow(lambda batches: _shard_pairs(batches, radius), "a long, b long")
+
+
+def _spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str) -> DataFrame:
+    """``rows`` joined with ``few`` (one row a key), the rows of each key spread over SALTS tasks: a key may be a hub of very many rows."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -382,9 +455,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = stored(now, "links")
     before = None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        # every edge (a > b) hands a to the smallest neighbour of b, or to b itself where b has no smaller one
+        low = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        large = _spread_join(now, low, "b", "a", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -408,7 +481,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     grouped = stored(grouped, "grouped")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = stored(grouped.join(smallest, "root").select("fp", "component"), "components")
+    by_fp = stored(_spread_join(grouped, smallest, "root", "fp", "inner").select("fp", "component"), "components")
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
@@ -442,29 +515,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(down * common >= up * (F.col("a_size") + F.col("b_size") - common)).select("a", "b")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:
+def sketches_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint of the different words, number of different shingles, and the smallest shingle hash under each of the orders (zeros without words), of whole texts."""
+    sizes, least = np.zeros(len(texts), np.int32), np.zeros((len(texts), len(_ORDERS)), np.uint64)
+    for row, hashes in _hashes_of(texts, COPY_SHINGLE):
+        h = np.unique(hashes)
+        sizes[row] = len(h)
+        for a in range(0, len(h), BLOCK_BYTES >> 7):
+            some = (h[a : a + (BLOCK_BYTES >> 7), None] * _ORDERS).min(axis=0)
+            least[row] = np.minimum(least[row], some) if a else some
+    return fingerprints_of(texts, distinct=True), sizes, least.view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key (the text's md5), fp, size, keys and more_keys of every row."""
+
+    def each(batches):
+        for batch in batches:
+            fps, sizes, least = sketches_of(batch.column(2).to_pylist())
+            ends = pa.array(np.arange(len(fps) + 1) * SLOTS, pa.int32())
+            keys = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).ravel())) for part in (least[:, :SLOTS], least[:, SLOTS:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(sizes), *keys], names=["id", "key", "fp", "size", "keys", "more_keys"])
+
+    small_batches(docs.sparkSession)
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(each, f"id {kind}, key string, fp long, size int, keys array<long>, more_keys array<long>")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
     """id, key (the text's md5) and group (a number) of every row; equal texts and verified copies are connected."""
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("row"), F.col(text_col).alias("text"))
-    fps = stored(fingerprints(rows, "row", "text", distinct=True).select("id.id", "id.key", "fp"), "fingerprints")
+    rows = stored(sketches(docs, id_col, text_col), "sketches")
     # each different text is a node; the numbers are fixed once they are written
-    nodes = stored(fps.select("key", "fp").distinct().withColumn("node", F.monotonically_increasing_id()), "texts")
-    by_fp = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    links = stored(fingerprint_links(by_fp.select("fp"), radius).distinct(), "near")
-    near = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).unionByName(by_fp.where("n > 1").select("fp")).distinct()
-    near = stored(nodes.join(near, "fp").join(by_fp.select("fp", "first"), "fp"), "candidates")
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(near.select("key", "node", "fp"), "key").dropDuplicates(["node"])
-    sets = stored(shingle_sets(texts), "shingles")
+    nodes = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("fp", "size", "keys", "more_keys"))).withColumn("node", F.monotonically_increasing_id())
+    nodes = stored(nodes.withColumn("group", F.col("node")), "texts")
     # what spans the near fingerprints comes first: it connects large groups of copies without all their pairs
-    first = by_fp.select("fp", "first")
-    span = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    span = span.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().unionByName(near.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    sharded = stored(_by_key(nodes.select("fp", "node", "group", "keys"), "keys"), "shards")
+    span = stored(spanning_links(sharded, radius, limit).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "spans")
+    # a text that no span meets is near no other, unless chunks kept them apart: only the rest are looked up again, and have their shingles fetched
+    met = span.select(F.col("a").alias("node")).unionByName(span.select(F.col("b").alias("node"))).unionByName(sharded.where(F.col("n") > limit).select("node"))
+    met = stored(met.distinct(), "met")
+    near = stored(nodes.join(met, "node", "left_semi"), "near")
+    texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text")).join(near.select("key", "node", "fp"), "key").dropDuplicates(["node"])
+    sets = stored(shingle_sets(texts), "shingles")
     sure = stored(verified(span, sets), "verified")
-    grouped = sets.select("node", "fp", "size").join(components(sure), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("group"), "size")
-    rest = stored(candidate_pairs(stored(grouped, "grouped"), radius), "pairs")
+    grouped = stored(near.drop("group").join(components(sure), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
+    rest = stored(candidate_pairs(grouped, radius, limit).distinct(), "pairs")
     roots = components(sure.unionByName(verified(rest, sets)))
     groups = stored(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group")), "groups")
-    return fps.join(groups, "key").select("id", "key", "group")
+    return rows.select("id", "key").join(groups, "key").select("id", "key", "group")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS) -> DataFrame:

@@ -134,14 +134,67 @@ def test_near_fingerprints_alone_remove_nothing(spark):
     assert sorted(x.doc_id for x in sh.without_copies(df).collect()) == [0, 1, 2, 3, 4]
 
 
-def test_candidates_are_all_pairs_between_groups(spark):
+def test_candidates_are_all_pairs_of_a_shard_between_groups(spark):
     values = clustered(500, 4)
-    rows = [(signed(v), 10 * i + k, (10 * i + k) % 7 if i % 2 else -1, 10 + i % 4) for i, v in enumerate(values) for k in range(1 + (i % 9 == 0))]
-    want = {(max(a[1], b[1]), min(a[1], b[1])) for a, b in combinations(rows, 2) if ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= 8 and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
-    df = spark.createDataFrame(rows, "fp long, node long, group long, size int")
-    for limit, blocks in ((4096, None), (40, None), (4096, 10)):
-        got = [(r.a, r.b) for r in sh.candidate_pairs(df, 8, limit, blocks).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    # groups of all sizes: one holds half of all nodes; two slots of keys, one very common
+    rows = [(signed(v), 10 * i + k, (10 * i + k) % 7 if i % 2 else -1, 10 + i % 4, [i % 3 and i % 40, i % 11], [5, 6 + i % 2]) for i, v in enumerate(values) for k in range(1 + (i % 9 == 0))]
+
+    def near(a, b):
+        return ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= 8 and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3]) and any(x == y for x, y in zip(a[4], b[4]))
+
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a, b in combinations(rows, 2) if near(a, b)}
+    df = spark.createDataFrame(rows, "fp long, node long, group long, size int, keys array<long>, more_keys array<long>")
+    for limit in (4096, 60, 25):
+        assert {(r.a, r.b) for r in sh.candidate_pairs(df, 8, limit).collect()} == want
+
+
+def test_large_groups_of_copies_cost_no_pairs(spark):
+    """Half of all texts are near copies of one, in shards far over the limit: one group, found without its pairs."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[r.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"y{r.getrandbits(30)}" for _ in range(120)) + " " + " ".join(base[:12])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = sh.copies(df, limit=50).collect()
+    mine = {x.group for x in groups if x.id < 1000}
+    assert len(mine) == 1 and len({x.group for x in groups}) == 101
+    assert sorted(x.doc_id for x in sh.without_copies(df).collect()) == [0, *range(1000, 1100)]
+
+
+def test_copies_equal_an_exact_join(spark, small):
+    """Recall and precision against all pairs of the real texts; nothing was chosen on this table."""
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else {()} for i, t in texts.items()}
+    having, pairs = {}, set()
+    for i, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(i)
+    for ids in having.values():
+        pairs |= set(combinations(ids, 2))
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        n = len(sets[a] & sets[b])
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    want = {}
+    for i in sets:
+        want.setdefault(find(i), set()).add(i)
+    got = {}
+    for x in sh.copies(docs).collect():
+        got.setdefault(x.group, set()).add(x.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def test_repeated_ids_with_other_texts_stay(spark):
