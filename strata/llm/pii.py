@@ -11,8 +11,10 @@ aggregate counts all candidates of the corpus by feature values and label;
 boosted trees are fitted on that table, whose size is bounded by the product of
 the features' ranges, and become CASE expressions. Sound candidates outside the
 base are added where the score of their format and context reaches the threshold
-of their kind and no chosen span overlaps them; the likelier of two overlapping
-additions wins, then the earlier, then the longer.
+of their kind; an addition that overlaps a likelier one (of equal ones: an earlier,
+then a longer one) goes. Spans are placed and compared by running totals in
+blocks and by bisection, so that a text of very many matches costs little more
+than in proportion.
 
 Positions are code points, end exclusive. Null text counts as empty, without
 spans; repeated rows get equal results; an empty table gives an empty result
@@ -34,6 +36,10 @@ from strata.llm.common import stored
 KINDS = ("email", "ip", "card", "phone")
 TREES = 25
 RATE = 0.3
+#: Code points of the pages that redaction cuts a text into, so as not to count from its beginning for every span.
+PAGE = 4096
+#: Elements whose running totals are computed one by one.
+BLOCK = 64
 #: Additions of a kind need a score at which at least this share of all candidates that reach it are sound.
 PRECISION = 0.9
 
@@ -61,21 +67,67 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
 
-def _matched(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
-    """Adds the matches as a column; the pattern runs once for the pieces and once for the values, only where ``when`` holds."""
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it, even for each element of an array."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _before(values: Column, merge, zero: int) -> Column:
+    """For each element of an integer array, what all elements before it merge to; in blocks, so that the cost is BLOCK for each."""
+
+    def fold(some: Column) -> Column:
+        return F.aggregate(some, F.lit(zero), merge)
+
+    def each(v: Column, heads: Column) -> Column:
+        return F.transform(v, lambda x, i: merge(F.get(heads, F.floor(i / BLOCK).cast("int")), fold(F.slice(v, i - i % BLOCK + 1, i % BLOCK))))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        return _let(blocks, lambda sums: _let(F.transform(sums, lambda x, b: fold(F.slice(sums, F.lit(1), b))), lambda heads: each(v, heads)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _below(ascending: Column, bound: Column) -> Column:
+    """How many elements of an ascending array are under ``bound``, by bisection."""
+    steps = F.expr(f"array({','.join(str(1 << k) for k in range(26, -1, -1))})")
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get(ascending, at + k - 1) < bound, at + k).otherwise(at))
+
+
+def _starts(spans: Column) -> Column:
+    return F.transform(spans, lambda s: s["start"])
+
+
+def _others(spans: Column, known: Column) -> Column:
+    """Those of ``spans`` that begin or end otherwise than all of ``known``, which don't overlap and ascend."""
+
+    def new(x: Column, starts: Column) -> Column:
+        same = F.get(known, _below(starts, x["start"]))
+        return F.coalesce((same["start"] != x["start"]) | (same["end"] != x["end"]), F.lit(True))
+
+    return _let(_starts(known), lambda starts: F.filter(spans, lambda x: new(x, starts)))
+
+
+def _matched(df: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds the matches of each (pattern, condition) as a column; a pattern runs once for the pieces and once for the values, only where its condition holds."""
     text = F.col("__text")
-    df = df.withColumn("__m", F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    df = df.withColumn("__p", F.when(F.size("__m") > 0, F.split(text, pattern, -1)))
-    zipped = F.transform(F.col("__m"), lambda v, i: F.struct(v.alias("value"), F.length(F.get("__p", i)).alias("gap"), F.length(v).alias("own"), F.right(F.get("__p", i), F.lit(24)).alias("before"), F.substring(F.get("__p", i + 1), 1, 1).alias("after")))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    df = df.withColumns({f"__m{k}": F.when(when, F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, (p, when) in enumerate(patterns.values())})
+    df = df.withColumns({f"__p{k}": F.when(F.size(f"__m{k}") > 0, F.split(text, p, -1)) for k, (p, _) in enumerate(patterns.values())})
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        one = F.struct(at.alias("start"), (at + x["own"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct((at + x["own"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(values: Column, pieces: Column) -> Column:
+        def placed(p: Column, gaps: Column) -> Column:
+            lengths = F.transform(values, lambda v, i: F.get(gaps, i) + F.length(v))
+            at = _before(lengths, lambda a, b: a + b, 0)
+            return _let(at, lambda past: F.transform(values, lambda v, i: _placed(v, F.get(past, i) + F.get(gaps, i), F.right(F.get(p, i), F.lit(24)), F.substring(F.get(p, i + 1), 1, 1))))
 
-    df = df.withColumn("__z", F.when(F.size("__m") > 0, zipped))
-    return df.withColumn(name, F.when(F.size("__z") > 0, F.aggregate("__z", start, step, lambda a: a["out"])).otherwise(_none())).drop("__m", "__p", "__z")
+        return F.when(F.size(values) > 0, _let(pieces, lambda p: _let(F.transform(p, F.length), lambda gaps: placed(p, gaps)))).otherwise(_none())
+
+    df = df.withColumns({name: spans(F.col(f"__m{k}"), F.col(f"__p{k}")) for k, name in enumerate(patterns)})
+    return df.drop(*(f"__{c}{k}" for k in range(len(patterns)) for c in "mp"))
+
+
+def _placed(value: Column, start: Column, before: Column, after: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"), after.alias("after"))
 
 
 def _digits(value: Column) -> Column:
@@ -114,18 +166,29 @@ def _part(x: Column, value: Column) -> Column:
     return F.struct(x["start"].alias("start"), (x["start"] + own).alias("end"), value.alias("value"), x["before"].alias("before"), F.substring(x["value"], own + 1, F.lit(1)).alias("after"))
 
 
-def _before_next(x: Column) -> Column:
-    """The part of ``x`` before the first address or card of the base that starts inside it."""
-    inside = F.filter("__base", lambda s: s["kind"].isin(1, 2) & (s["start"] > x["start"]) & (s["start"] < x["end"]))
-    cut = F.coalesce(F.get(inside, F.lit(0))["start"] - x["start"], F.lit(0))
+def _before_next(x: Column, starts: Column) -> Column:
+    """The part of ``x`` before the first of ``starts`` (addresses and cards of the base) inside it."""
+    inside = F.get(starts, _below(starts, x["start"] + 1))
+    cut = F.when(inside < x["end"], inside - x["start"]).otherwise(0)
     return _part(x, F.regexp_extract(F.substring(x["value"], F.lit(1), cut), "^(.*[0-9])", 1))
 
 
+def _hits(ends: Column, starts: Column, x: Column) -> Column:
+    """Whether ``x`` overlaps a span of those that ``starts`` has, in order, and ``ends``, the largest end up to each."""
+    return F.coalesce(F.get(ends, _below(starts, x["end"]) - 1) > x["start"], F.lit(False))
+
+
+def _largest_ends(spans: Column) -> Column:
+    """The largest end up to each of ``spans``."""
+    ends = F.transform(spans, lambda s: s["end"])
+    return _let(_before(ends, lambda a, b: F.greatest(a, b), 0), lambda past: F.transform(ends, lambda e, i: F.greatest(e, F.get(past, i))))
+
+
 def _class(ch: Column) -> Column:
     return F.when(ch.rlike(r"^[\p{L}_=\"]"), 1).when(ch.rlike("^[0-9]"), 2).otherwise(0)
 
 
-def _candidate(kind: int, x: Column, accepted: Column) -> Column:
+def _candidate(kind: int, x: Column, accepted: Column, base: Column) -> Column:
     value, d = x["value"], F.length(_digits(x["value"]))
     context = reduce(lambda out, k: out.when(x["before"].rlike(CONTEXT[k]), k + 1), range(1, len(CONTEXT)), F.when(x["before"].rlike(CONTEXT[0]), 1)).otherwise(0)
     return F.struct(
@@ -134,47 +197,45 @@ def _candidate(kind: int, x: Column, accepted: Column) -> Column:
         F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(4)).alias("dots"), F.when(value.startswith("+"), 1).otherwise(0).alias("plus"),
         _class(F.right(x["before"], F.lit(1))).alias("before"), _class(x["after"]).alias("after"), context.alias("context"),
         F.coalesce(F.regexp_extract(value, "([0-9])", 1).try_cast("int"), F.lit(0)).alias("lead"),
-        accepted.alias("accepted"), (_sound(kind, value) & (accepted | ~F.exists("__base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))).alias("sound"),
+        accepted.alias("accepted"), (_sound(kind, value) & (accepted | ~_hits(base["ends"], base["starts"], x))).alias("sound"),
     )
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with __base (start, kind number, end of the checked patterns' spans) and __cand (all candidates with features)."""
     df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    at, digit, plus = F.contains("__text", F.lit("@")), F.col("__text").rlike("[0-9]"), F.contains("__text", F.lit("+"))
+    df = df.withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    at, plus, digit = F.contains("__text", F.lit("@")), F.contains("__text", F.lit("+")), F.col("__digit")
     hidden = F.col("__text").rlike(r"(?:\(at\)|\[at\])")
-    df = df.withColumn("__digit", digit)
-    df = _matched(df, "__email", EMAIL, at)
-    df = _matched(df, "__loose_email", LOOSE_EMAIL, hidden)
-    df = _matched(df, "__ip", IP, F.col("__digit"))
-    df = _matched(df, "__card", CARD, F.col("__digit"))
-    df = _matched(df, "__phone", PHONE, plus & F.col("__digit"))
-    df = _matched(df, "__loose_phone", LOOSE_PHONE, F.col("__digit"))
+    strict = {"__email": (EMAIL, at), "__ip": (IP, digit), "__card": (CARD, digit), "__phone": (PHONE, plus & digit)}
+    df = _matched(df, strict | {"__loose_email": (LOOSE_EMAIL, hidden), "__loose_phone": (LOOSE_PHONE, digit)})
 
     def checked(k: int, kind: str) -> Column:
         good = F.filter(f"__{kind}", lambda x: _valid(kind, x["value"]))
         return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
 
     def proposed(k: int, spans: Column, strict: bool) -> Column:
-        return F.transform(spans, lambda x: _candidate(k, x, _valid(KINDS[k], x["value"]) if strict else F.lit(False)))
+        return F.transform(spans, lambda x: _candidate(k, x, _valid(KINDS[k], x["value"]) if strict else F.lit(False), F.col("__ahead")))
 
     df = df.withColumn("__base", F.array_sort(F.concat(*(checked(k, kind) for k, kind in enumerate(KINDS)))))
     # A loose form that the strict pattern also proposes would count twice.
-    for kind in ("email", "phone"):
-        df = df.withColumn("__strict", F.transform(f"__{kind}", lambda y: F.struct(y["start"], y["end"])))
-        df = df.withColumn(f"__loose_{kind}", F.filter(f"__loose_{kind}", lambda x: ~F.array_contains(F.col("__strict"), F.struct(x["start"], x["end"]))))
+    ahead = F.struct(_largest_ends(F.col("__base")).alias("ends"), _starts(F.col("__base")).alias("starts"))
+    df = df.withColumns({"__ahead": ahead} | {f"__loose_{kind}": _others(F.col(f"__loose_{kind}"), F.col(f"__{kind}")) for kind in ("email", "phone")})
     refused = F.concat(F.filter("__phone", lambda x: ~_valid("phone", x["value"])), F.col("__loose_phone"))
     long = F.filter("__phone", lambda x: F.length(_digits(x["value"])) > 15)
-    parts = F.concat(F.transform(refused, _before_next), F.transform(long, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_PHONE, 1))))
-    df = df.withColumn("__phone_part", F.when(F.size(refused) > 0, F.array_distinct(F.filter(parts, lambda x: F.length(_digits(x["value"])) >= 7))).otherwise(_none()))
+    numbers = _starts(F.filter("__base", lambda s: s["kind"].isin(1, 2)))
+    parts = F.concat(_let(numbers, lambda starts: F.transform(refused, lambda x: _before_next(x, starts))), F.transform(long, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_PHONE, 1))))
+    parts = F.array_sort(F.filter(parts, lambda x: F.length(_digits(x["value"])) >= 7))
+    once = _let(parts, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
     whole = F.filter("__card", lambda x: (F.length(_digits(x["value"])) > 12) & ~_valid("card", x["value"]))
-    df = df.withColumn("__card_part", F.filter(F.transform(whole, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_CARD, 1))), lambda x: x["end"] > x["start"]))
+    short = F.filter(F.transform(whole, lambda x: _part(x, F.regexp_extract(x["value"], SHORT_CARD, 1))), lambda x: x["end"] > x["start"])
+    df = df.withColumns({"__phone_part": F.when(F.size(refused) > 0, once).otherwise(_none()), "__card_part": short})
     wide = F.filter("__card", lambda x: F.length(_digits(x["value"])) >= 7)
     strict = [proposed(k, wide if kind == "card" else F.col(f"__{kind}"), True) for k, kind in enumerate(KINDS)]
-    fresh = F.concat("__loose_phone", F.filter("__phone_part", lambda x: ~F.exists("__loose_phone", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))))
+    fresh = F.concat("__loose_phone", _others(F.col("__phone_part"), F.col("__loose_phone")))
     loose = [proposed(k, spans, False) for k, spans in ((0, F.col("__loose_email")), (2, F.col("__card_part")), (3, fresh))]
     df = df.withColumn("__cand", F.concat(*strict, *loose))
-    return df.drop("__text", "__digit", "__loose_email", "__loose_phone", "__phone_part", "__card_part", "__strict", *(f"__{k}" for k in KINDS))
+    return df.drop("__text", "__digit", "__loose_email", "__loose_phone", "__phone_part", "__card_part", "__ahead", *(f"__{k}" for k in KINDS))
 
 
 @dataclass
@@ -259,14 +320,24 @@ def train_trees(candidates: DataFrame) -> Trees:
 def with_spans(candidates: DataFrame, model: Trees) -> DataFrame:
     """Adds __spans: (start, kind number, end) of the base and of the additions, in order."""
     bounds = F.array(*map(F.lit, model.thresholds))
-    scored = F.transform(F.filter("__cand", lambda c: ~c["accepted"] & c["sound"]), lambda c: F.struct((-model.score(c)).alias("rank"), c["start"].alias("start"), (-c["end"]).alias("minus"), c["kind"].alias("kind")))
+    scored = F.transform(F.filter("__cand", lambda c: ~c["accepted"] & c["sound"]), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), (-model.score(c)).alias("rank")))
     over = F.array_sort(F.filter(scored, lambda c: -c["rank"] >= F.get(bounds, c["kind"])))
 
-    def add(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc, lambda s: (s["start"] < -c["minus"]) & (c["start"] < s["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (-c["minus"]).alias("end")))))
+    def order(c: Column) -> Column:
+        return F.struct(c["rank"], c["start"], -c["end"], c["kind"])
+
+    def kept(all_: Column) -> Column:
+        def stays(spans: Column, ends: Column, starts: Column) -> Column:
+            def near(x: Column) -> Column:  # all that overlap x lie in this range
+                first = _below(ends, x["start"] + 1)
+                return F.slice(spans, first + 1, F.greatest(F.lit(0), _below(starts, x["end"]) - first))
 
-    return candidates.withColumn("__over", over).withColumn("__spans", F.when(F.size("__over") > 0, F.array_sort(F.aggregate("__over", F.col("__base"), add))).otherwise(F.col("__base"))).drop("__over")
+            return F.filter(spans, lambda x: ~F.exists(near(x), lambda y: (y["end"] > x["start"]) & (order(y) < order(x))))
+
+        return _let(_largest_ends(all_), lambda ends: _let(_starts(all_), lambda starts: stays(all_, ends, starts)))
+
+    added = _let(over, lambda all_: F.transform(kept(all_), lambda c: F.struct(c["start"], c["kind"], c["end"])))
+    return candidates.withColumn("__over", F.exists("__cand", lambda c: ~c["accepted"] & c["sound"])).withColumn("__spans", F.when(F.col("__over"), F.array_sort(F.concat("__base", added))).otherwise(F.col("__base"))).drop("__over")
 
 
 def _listed(spans: str) -> Column:
@@ -295,14 +366,25 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans are replaced together, under the first one's kind."""
     kept = docs.columns
-    model = train_trees(with_candidates(docs, text_col).select("__cand"))
-    found = with_spans(with_candidates(docs, text_col), model)
-    names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    candidates = stored(with_candidates(docs, text_col), "candidates")
+    found = with_spans(candidates, train_trees(candidates))
+    names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
+
+    def cut(pages: Column, start: Column, past: Column) -> Column:
+        """Characters from ``start`` up to ``past``, from the few pages that have them."""
+        first = F.floor(start / PAGE).cast("int")
+        some = F.slice(pages, first + 1, F.floor(past / PAGE).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), start - first * PAGE + 1, past - start)
+
+    def pieces(pages: Column, spans: Column, ends: Column) -> Column:
+        """What is between the spans, each time with the kind of the one behind it; then the rest."""
+
+        def piece(s: Column, i: Column) -> Column:
+            past = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.when(s["start"] >= past, F.concat(cut(pages, past, s["start"]), F.lit("<"), F.get(names, s["kind"]), F.lit(">"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit("<"), F.get(names, s["kind"]), F.lit(">")).alias("out")))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(pages, F.get(ends, F.size(ends) - 1), F.length(text)))
 
-    new = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, new).otherwise(F.col(text_col))).select(*kept)
+    pages = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PAGE).cast("int")), lambda k: F.substring(text, k * PAGE + 1, F.lit(PAGE)))
+    new = _let(pages, lambda p: _let(_largest_ends(F.col("__spans")), lambda ends: pieces(p, F.col("__spans"), ends)))
+    return found.withColumn(text_col, F.when(F.size("__spans") > 0, new).otherwise(text)).select(*kept)
