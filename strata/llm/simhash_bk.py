@@ -30,8 +30,10 @@ probability (1 - s) ** SLOTS: under 3 in a million at 0.8. First the links that
 span each shard's near fingerprints are verified; then every pair of a shard
 within the radius whose texts verified links don't already connect. For that,
 shards that lie in one group are done; one of over SHARD_TEXTS texts is sharded
-once more by a second set of orders, and what is still larger is dealt out in
-chunks, where a large group's chunks never meet each other.
+once more by a second set of orders if that leaves fewer pairs to look at, and
+what is large even so is dealt out in chunks, where a large group's chunks never
+meet each other. Each text carries a mark, eight bits or more a shingle, set by their hashes, from which the search knows an upper bound of any
+similarity: pairs that can't reach 0.8 never leave the task.
 """
 
 from __future__ import annotations
@@ -265,20 +267,51 @@ def _shard_links(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def mark_of(hashes: np.ndarray) -> bytes:
+    """A bit for each different hash, by its lowest bits, among eight times as many or more (a power of two)."""
+    bits = np.zeros(max(64, 1 << int(8 * max(1, len(hashes)) - 1).bit_length()), np.uint8)
+    bits[(hashes.view(np.uint64) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Marked:
+    """A text of a candidate search: node, group, number of shingles, and its mark."""
+
+    __slots__ = ("node", "group", "size", "width", "bits", "spare")
+
+    def __init__(self, node: int, group: int, size: int, mark: bytes):
+        self.node, self.group, self.size, self.width = node, group, size, 8 * len(mark)
+        self.bits = int.from_bytes(mark, "little")
+        self.spare = size - self.bits.bit_count()  # shingles that share another's bit
+
+    def may_equal(self, other: Marked) -> bool:
+        """False only if the similarity can't be the least one: common shingles lie under common bits, one a bit but for spare ones."""
+        x, y = (self, other) if self.width <= other.width else (other, self)
+        bits, width, spare = y.bits, y.width, min(x.spare, y.spare)
+        if width > x.width:  # folded to the narrower mark, some of the wider one's shingles share a bit
+            while width > x.width:
+                width >>= 1
+                bits = bits >> width | bits & (1 << width) - 1
+            spare = x.spare
+        common = min((x.bits & bits).bit_count() + spare, x.size, y.size)
+        up, down = COPY_SIMILARITY
+        return down * common >= up * (x.size + y.size - common)
+
+
 class CandidateTree:
-    """A BK-tree of fingerprints that gives every pair of texts within the radius, but those of one group and of too unlike sizes."""
+    """A BK-tree of fingerprints that gives every pair of texts within the radius, but those of one group and those too unlike by size or mark."""
 
     def __init__(self, radius: int = COPY_RADIUS):
         self.radius = radius
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
-        self.texts: list[list[tuple[int, int, int]]] = []  # (node, group, size) of the texts of each fingerprint
+        self.texts: list[list[Marked]] = []  # of each fingerprint
         self.whole: list[int | None] = []  # the one group that a subtree lies in, or None
 
-    def search(self, value: int, group: int, size: int) -> list[int]:
-        """Every text of another group within the radius whose size allows the least similarity."""
+    def search(self, value: int, text: Marked) -> list[int]:
+        """Every text of another group within the radius that may have the least similarity."""
         out: list[int] = []
-        radius, (up, down) = self.radius, COPY_SIMILARITY
+        radius, (up, down), group, size = self.radius, COPY_SIMILARITY, text.group, text.size
         stack = [0] if self.values else []
         while stack:
             k = stack.pop()
@@ -286,18 +319,18 @@ class CandidateTree:
                 continue
             d = (self.values[k] ^ value).bit_count()
             if d <= radius:
-                out += [n for n, g, s in self.texts[k] if g != group and down * min(s, size) >= up * max(s, size)]
+                out += [t.node for t in self.texts[k] if t.group != group and down * min(t.size, size) >= up * max(t.size, size) and text.may_equal(t)]
             stack.extend(c for e, c in self.children[k].items() if -radius <= e - d <= radius)
         return out
 
-    def add(self, value: int, node: int, group: int, size: int) -> None:
-        at = 0
+    def add(self, value: int, text: Marked) -> None:
+        at, group = 0, text.group
         while self.values:
             if self.whole[at] != group:
                 self.whole[at] = None
             d = (self.values[at] ^ value).bit_count()
             if d == 0:
-                self.texts[at].append((node, group, size))
+                self.texts[at].append(text)
                 return
             below = self.children[at].get(d)
             if below is None:
@@ -306,12 +339,12 @@ class CandidateTree:
             at = below
         self.values.append(value)
         self.children.append({})
-        self.texts.append([(node, group, size)])
+        self.texts.append([text])
         self.whole.append(group)
 
 
 def _shard_pairs(batches, radius: int):
-    """Rows (shard, low, high, role, fp, node, group, size) in that order. Role 0 goes into the tree, and searches it where low is high; role 1 only searches."""
+    """Rows (shard, low, high, role, fp, node, group, size, mark) in that order. Role 0 goes into the tree, and searches it where low is high; role 1 only searches."""
     shard, tree = None, CandidateTree(radius)
     for batch in batches:
         left, right = [], []
@@ -320,16 +353,16 @@ def _shard_pairs(batches, radius: int):
             a, b = np.array(left, np.int64), np.array(right, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-        for *key, role, fp, node, group, size in zip(*(c.to_pylist() for c in batch.columns)):
+        for *key, role, fp, node, group, size, mark in zip(*(c.to_pylist() for c in batch.columns)):
             if key != shard:
                 shard, tree = key, CandidateTree(radius)
-            u = fp & 0xFFFFFFFFFFFFFFFF
+            u, text = fp & 0xFFFFFFFFFFFFFFFF, Marked(node, group, size, mark)
             if role or key[1] == key[2]:
-                near = tree.search(u, group, size)
+                near = tree.search(u, text)
                 left += [node] * len(near)
                 right += near
             if not role:
-                tree.add(u, node, group, size)
+                tree.add(u, text)
             if len(left) >= PAIRS_AT_ONCE:
                 yield given()
                 left.clear()
@@ -410,12 +443,18 @@ def spanning_links(sharded: DataFrame, radius: int = COPY_RADIUS, limit: int = S
 
 
 def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
-    """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size, keys, more_keys) that share a shard and are within ``radius``; none within a group, none whose sizes exclude the least similarity. Pairs may repeat."""
+    """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size, mark, keys, more_keys) that share a shard and are within ``radius``; none within a group, none whose sizes or marks exclude the least similarity. Pairs may repeat."""
     cols = ["fp", "node", "group", "size"]
     rows = stored(_by_key(texts.select(*cols, "keys"), "keys"), "shards")
     small = rows.where(F.col("n") <= limit).select("shard", *cols)
-    again = rows.where(F.col("n") > limit).select("shard", *cols).join(texts.select("node", "more_keys"), "node")
+    crowd = rows.where(F.col("n") > limit).withColumnRenamed("shard", "first")
+    again = crowd.select("first", F.col("first").alias("shard"), *cols).join(texts.select("node", "more_keys"), "node")
     again = stored(_by_key(again, "more_keys", "shard"), "more_shards")
+    # a second sharding is taken where it leaves fewer pairs; texts that are all alike would only meet again and again
+    pairs = again.groupBy("first", "shard").agg(F.first("n").cast("double").alias("n")).groupBy("first").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    pairs = crowd.groupBy("first").agg(F.first("n").cast("double").alias("n")).join(pairs, "first", "left")
+    direct = stored(pairs.where(F.col("pairs") >= F.col("n") * F.col("n")).select("first"), "direct")
+    again = again.join(direct, "first", "left_anti").drop("first").unionByName(crowd.join(direct, "first", "left_semi").withColumnRenamed("first", "shard"))
     small = small.unionByName(again.where(F.col("n") <= limit).select("shard", *cols))
     zero = F.lit(0).cast("long")
     small = small.select("shard", zero.alias("low"), zero.alias("high"), F.lit(0).alias("role"), *cols)
@@ -433,7 +472,8 @@ def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SH
     ends = meet.select("shard", F.col("low").alias("chunk"), "low", "high", F.lit(0).alias("role")).unionByName(meet.where("low <> high").select("shard", F.col("high").alias("chunk"), "low", "high", F.lit(1).alias("role")))
     parts = parts.join(ends, ["shard", "chunk"]).select("shard", "low", "high", "role", *cols)
     shard = ["shard", "low", "high"]
-    dealt = small.unionByName(parts).repartition(*shard).sortWithinPartitions(*shard, "role", "fp", "node")
+    marked = small.unionByName(parts).join(texts.select("node", "mark"), "node").select(*shard, "role", *cols, "mark")
+    dealt = marked.repartition(*shard).sortWithinPartitions(*shard, "role", "fp", "node")
     return dealt.mapInArrow(lambda batches: _shard_pairs(batches, radius), "a long, b long")
 
 
@@ -492,17 +532,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """node, fp, size and shingles (different hashes) of ``texts`` (node, fp, text)."""
+    """node, fp, size, shingles (different hashes) and mark of ``texts`` (node, fp, text)."""
 
     def each(batches):
         for batch in batches:
             sets = shingle_sets_of(batch.column(2).to_pylist(), shingle)
             sizes = np.array([len(x) for x in sets], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), lists], names=["node", "fp", "size", "shingles"])
+            marks = pa.array([mark_of(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), lists, marks], names=["node", "fp", "size", "shingles", "mark"])
 
     small_batches(texts.sparkSession)
-    return texts.select("node", "fp", "text").mapInArrow(each, "node long, fp long, size int, shingles array<long>")
+    return texts.select("node", "fp", "text").mapInArrow(each, "node long, fp long, size int, shingles array<long>, mark binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -559,7 +600,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text")).join(near.select("key", "node", "fp"), "key").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts), "shingles")
     sure = stored(verified(span, sets), "verified")
-    grouped = stored(near.drop("group").join(components(sure), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
+    grouped = near.drop("group").join(components(sure), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    grouped = stored(grouped.join(sets.select("node", "mark"), "node"), "grouped")
     rest = stored(candidate_pairs(grouped, radius, limit).distinct(), "pairs")
     roots = components(sure.unionByName(verified(rest, sets)))
     groups = stored(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group")), "groups")

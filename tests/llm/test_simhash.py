@@ -137,17 +137,36 @@ def test_near_fingerprints_alone_remove_nothing(spark):
 def test_candidates_are_all_pairs_of_a_shard_between_groups(spark):
     values = clustered(500, 4)
     # groups of all sizes: one holds half of all nodes; two slots of keys, one very common
-    rows = [(signed(v), 10 * i + k, (10 * i + k) % 7 if i % 2 else -1, 10 + i % 4, [i % 3 and i % 40, i % 11], [5, 6 + i % 2]) for i, v in enumerate(values) for k in range(1 + (i % 9 == 0))]
+    rows = [(signed(v), 10 * i + k, (10 * i + k) % 7 if i % 2 else -1, 10 + i % 4, [i % 3 and i % 40, i % 11], [5, 6 + i % 2], b"") for i, v in enumerate(values) for k in range(1 + (i % 9 == 0))]
 
     def near(a, b):
         return ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= 8 and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3]) and any(x == y for x, y in zip(a[4], b[4]))
 
     want = {(max(a[1], b[1]), min(a[1], b[1])) for a, b in combinations(rows, 2) if near(a, b)}
-    df = spark.createDataFrame(rows, "fp long, node long, group long, size int, keys array<long>, more_keys array<long>")
+    df = spark.createDataFrame(rows, "fp long, node long, group long, size int, keys array<long>, more_keys array<long>, mark binary")
     for limit in (4096, 60, 25):
         assert {(r.a, r.b) for r in sh.candidate_pairs(df, 8, limit).collect()} == want
 
 
+def test_marks_exclude_no_similar_pair():
+    import numpy as np
+
+    g = np.random.default_rng(6)
+    refused = 0
+    for _ in range(400):
+        n = int(g.integers(1, 900))
+        x = np.unique(g.integers(0, 1 << 62, n))
+        y = np.unique(np.concatenate([g.permutation(x)[: int(len(x) * g.uniform(0.5, 1))], g.integers(0, 1 << 62, int(n * g.uniform(0, 0.3)))]))
+        if not len(y):
+            continue
+        common = len(np.intersect1d(x, y))
+        alike = 5 * common >= 4 * (len(x) + len(y) - common)
+        a, b = (sh.Marked(0, 0, len(v), sh.mark_of(v)) for v in (x, y))
+        assert a.may_equal(b) == b.may_equal(a) and (a.may_equal(b) or not alike)
+        refused += not a.may_equal(b)
+    assert refused > 100
+
+
 def test_large_groups_of_copies_cost_no_pairs(spark):
     """Half of all texts are near copies of one, in shards far over the limit: one group, found without its pairs."""
     r = random.Random(5)
