@@ -27,9 +27,10 @@ a large corpus, so its trees are sharded by the shingles themselves: a text is
 in SLOTS shards, each named by its smallest shingle hash under an order of its
 own, whatever the size of the corpus. Texts of similarity s share no shard with
 probability (1 - s) ** SLOTS: under 3 in a million at 0.8. First the links that
-span each shard's near fingerprints are verified; then every pair of a shard
-within the radius whose texts verified links don't already connect. For that,
-shards that lie in one group are done; one of over SHARD_TEXTS texts is sharded
+span each shard's near fingerprints are verified, then those that span its texts
+of similar marks (below), within chunks that differ from shard to shard: they
+connect large groups. At last comes every pair of a shard within the radius whose
+texts verified links don't already connect. For that, shards that lie in one group are done; one of over SHARD_TEXTS texts is sharded
 once more by a second set of orders if that leaves fewer pairs to look at, and
 what is large even so is dealt out in chunks, where a large group's chunks never
 meet each other. Each text carries a mark, eight bits or more a shingle, set by their hashes, from which the search knows an upper bound of any
@@ -299,34 +300,51 @@ class Marked:
 
 
 class CandidateTree:
-    """A BK-tree of fingerprints that gives every pair of texts within the radius, but those of one group and those too unlike by size or mark."""
+    """A BK-tree of fingerprints that gives pairs of texts within the radius that may have the least similarity, but none of one group.
 
-    def __init__(self, radius: int = COPY_RADIUS):
-        self.radius = radius
+    It gives every such pair, or (``spanning``) takes each as a link that joins
+    two groups, so that only pairs that connect something are given.
+    """
+
+    def __init__(self, radius: int = COPY_RADIUS, spanning: bool = False):
+        self.radius, self.spanning = radius, spanning
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
         self.texts: list[list[Marked]] = []  # of each fingerprint
         self.whole: list[int | None] = []  # the one group that a subtree lies in, or None
+        self.joined: dict[int, int] = {}  # union-find of groups
+
+    def find(self, group: int) -> int:
+        joined = self.joined
+        while (up := joined.get(group, group)) != group:
+            joined[group] = joined.get(up, up)
+            group = up
+        return group
 
     def search(self, value: int, text: Marked) -> list[int]:
-        """Every text of another group within the radius that may have the least similarity."""
+        """Texts of other groups within the radius that may have the least similarity."""
         out: list[int] = []
-        radius, (up, down), group, size = self.radius, COPY_SIMILARITY, text.group, text.size
+        radius, (up, down), size, find = self.radius, COPY_SIMILARITY, text.size, self.find
+        group = find(text.group)
         stack = [0] if self.values else []
         while stack:
             k = stack.pop()
-            if self.whole[k] == group:
+            if (w := self.whole[k]) is not None and find(w) == group:
                 continue
             d = (self.values[k] ^ value).bit_count()
             if d <= radius:
-                out += [t.node for t in self.texts[k] if t.group != group and down * min(t.size, size) >= up * max(t.size, size) and text.may_equal(t)]
+                for t in self.texts[k]:
+                    if (other := find(t.group)) != group and down * min(t.size, size) >= up * max(t.size, size) and text.may_equal(t):
+                        out.append(t.node)
+                        if self.spanning:
+                            self.joined[other] = group
             stack.extend(c for e, c in self.children[k].items() if -radius <= e - d <= radius)
         return out
 
     def add(self, value: int, text: Marked) -> None:
-        at, group = 0, text.group
+        at, group = 0, self.find(text.group)
         while self.values:
-            if self.whole[at] != group:
+            if (w := self.whole[at]) is not None and self.find(w) != group:
                 self.whole[at] = None
             d = (self.values[at] ^ value).bit_count()
             if d == 0:
@@ -343,9 +361,9 @@ class CandidateTree:
         self.whole.append(group)
 
 
-def _shard_pairs(batches, radius: int):
+def _shard_pairs(batches, radius: int, spanning: bool = False):
     """Rows (shard, low, high, role, fp, node, group, size, mark) in that order. Role 0 goes into the tree, and searches it where low is high; role 1 only searches."""
-    shard, tree = None, CandidateTree(radius)
+    shard, tree = None, CandidateTree(radius, spanning)
     for batch in batches:
         left, right = [], []
 
@@ -355,7 +373,7 @@ def _shard_pairs(batches, radius: int):
 
         for *key, role, fp, node, group, size, mark in zip(*(c.to_pylist() for c in batch.columns)):
             if key != shard:
-                shard, tree = key, CandidateTree(radius)
+                shard, tree = key, CandidateTree(radius, spanning)
             u, text = fp & 0xFFFFFFFFFFFFFFFF, Marked(node, group, size, mark)
             if role or key[1] == key[2]:
                 near = tree.search(u, text)
@@ -442,6 +460,15 @@ def spanning_links(sharded: DataFrame, radius: int = COPY_RADIUS, limit: int = S
     return rows.mapInArrow(lambda batches: _shard_spans(batches, radius), "a long, b long")
 
 
+def marked_links(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
+    """Links (a > b) that span the nodes of ``texts`` (fp, node, group, size, mark, keys) whose marks are similar, in the same way."""
+    rows = _by_key(texts.select("fp", "node", "group", "size", "keys"), "keys").join(texts.select("node", "mark"), "node")
+    chunk = F.pmod(F.xxhash64("node", "shard"), F.ceil(F.col("n") / limit))
+    rows = rows.select("shard", chunk.alias("low"), chunk.alias("high"), F.lit(0).alias("role"), "fp", "node", "group", "size", "mark")
+    rows = rows.repartition("shard", "low").sortWithinPartitions("shard", "low", "fp", "node")
+    return rows.mapInArrow(lambda batches: _shard_pairs(batches, radius, True), "a long, b long")
+
+
 def candidate_pairs(texts: DataFrame, radius: int = COPY_RADIUS, limit: int = SHARD_TEXTS) -> DataFrame:
     """Every pair (a > b) of nodes of ``texts`` (fp, node, group, size, mark, keys, more_keys) that share a shard and are within ``radius``; none within a group, none whose sizes or marks exclude the least similarity. Pairs may repeat."""
     cols = ["fp", "node", "group", "size"]
@@ -600,9 +627,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text")).join(near.select("key", "node", "fp"), "key").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts), "shingles")
     sure = stored(verified(span, sets), "verified")
-    grouped = near.drop("group").join(components(sure), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    grouped = stored(grouped.join(sets.select("node", "mark"), "node"), "grouped")
-    rest = stored(candidate_pairs(grouped, radius, limit).distinct(), "pairs")
+    near = stored(near.drop("group").join(sets.select("node", "mark"), "node"), "marked")
+
+    def grouped(known: DataFrame) -> DataFrame:
+        return stored(near.join(components(known), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
+
+    more = stored(marked_links(grouped(sure), radius, limit).distinct(), "more_spans")
+    sure = sure.unionByName(stored(verified(more, sets), "verified"))
+    rest = stored(candidate_pairs(grouped(sure), radius, limit).distinct(), "pairs")
     roots = components(sure.unionByName(verified(rest, sets)))
     groups = stored(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group")), "groups")
     return rows.select("id", "key").join(groups, "key").select("id", "key", "group")
