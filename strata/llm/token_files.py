@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
-``write_tokens`` encodes documents where they are, sorts their narrow ids by
-document id, and writes, for each range, a file of little-endian unsigned integers (as narrow as the
+``write_tokens`` finds bounds of ranges of document ids, encodes documents where
+they are, sends their narrow ids to their range, and writes, for each, a file of little-endian unsigned integers (as narrow as the
 vocabulary allows) and a file of 64-bit document offsets within it. Each
 range's place in the whole corpus comes from prefix sums over the ranges' totals;
 only those totals, one row a range, reach the driver. ``read_tokens`` maps the
@@ -12,8 +12,8 @@ Parquet table written when all ranges are done, names the ones that count, so a
 lost executor or a repeated attempt leaves nothing half-written in use.
 
 Null and empty texts are the end id alone. Rows that share an id follow each
-other, in the order of a hash of their token ids, and may lie in several ranges,
-so that an id of very many rows is no hot one; null ids come first. An empty table gives an empty
+other, in the order of a hash of their text, and may lie in several ranges, even
+equal rows, so that an id of very many rows is no hot one; null ids come first. An empty table gives an empty
 manifest and an empty result. Extra columns are ignored. Ids that the unsigned
 type can't hold raise an error.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import scratch_path, small_batches, stored
+from strata.llm.common import scratch_path, small_batches
 from strata.llm.tokens import encoder, vocabulary
 
 END = 2
-#: Bytes of token ids that a range is meant to have.
+#: Bytes of text that a range is meant to have.
 RANGE_BYTES = 64 << 20
 _FLUSH = 8 << 20
 
@@ -42,6 +43,11 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else "file://" + uri)
 
 
+def _key(id_: object, hash_: int) -> tuple:
+    """Sorts as Spark does, null ids first."""
+    return (id_ is not None, id_ if id_ is not None else 0, hash_)
+
+
 def width_for(largest_id: int) -> str:
     """The narrowest little-endian unsigned type that holds the id."""
     return next(t for t in ("<u1", "<u2", "<u4", "<u8") if largest_id <= np.iinfo(t).max)
@@ -52,27 +58,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     spark = docs.sparkSession
     small_batches(spark)
     vocab = tokenizer or vocabulary("byte_bpe_50k.json")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     width = width_for(max(encoder(vocab).tokenizer.get_vocab_size() - 1, end))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-int(size) // range_bytes), spark.sparkContext.defaultParallelism)
+    # only ids and hashes are sorted to find the bounds, one row a range; equal rows are parted by their place
+    narrow = rows.select("id", "hash").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, "id", "hash", "row")
+    found = narrow.groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "hash", "row")).alias("low")).select("low.id", "low.hash").collect()
+    bounds = spark.sparkContext.broadcast(sorted(_key(r["id"], r["hash"]) for r in found)[1:])
 
     def encode(batches):
-        enc, stop = encoder(vocab), np.array([end], width).tobytes()
+        enc, stop, n = encoder(vocab), np.array([end], width).tobytes(), 0
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
+            texts, at = batch.column(2).to_pylist(), 0
+            keys = list(map(_key, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             while at < len(texts):
-                held, size, first = [], 0, at
+                held, parts, size, first = [], [], 0, at
                 while at < len(texts) and size < _FLUSH:
                     raw = enc.encode_one(texts[at])
                     held.append((raw if width == "<u4" else np.frombuffer(raw, "<u4").astype(width).tobytes()) + stop)
+                    # a key that bounds several ranges may go to any of them
+                    low, high = bisect_left(bounds.value, keys[at]), bisect_right(bounds.value, keys[at])
+                    parts.append(low + n % (high - low + 1))
+                    n += 1
                     size += len(held[-1])
                     at += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(held, pa.binary())], names=["id", "ids"])
+                own = slice(first, at)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0)[own], batch.column(1)[own], pa.array(held, pa.binary())], names=["part", "id", "hash", "ids"])
 
-    encoded = rows.mapInArrow(encode, f"id {kind}, ids binary").withColumn("hash", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
-    encoded = stored(encoded, "encoded")
-    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    ranges = max(1, -(-int(size) // range_bytes), spark.sparkContext.defaultParallelism)
+    encoded = rows.mapInArrow(encode, f"part int, id {kind}, hash long, ids binary")
 
     def write(batches):
         filesystem, root = _opened(path)
@@ -84,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
         for batch in batches:
             if lowest is None and batch.num_rows:
                 data = filesystem.open_output_stream(stem + ".ids")
-                lowest = [batch.column(c).slice(0, 1) for c in ("id", "hash", "row")]
+                lowest = batch.column("part").slice(0, 1)
             for raw in batch.column("ids").to_pylist():
                 held.append(raw)
                 bytes_held += len(raw)
@@ -105,13 +120,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             for a in ids:
                 sink.write_batch(pa.RecordBatch.from_arrays([a], names=["id"]))
         name = stem.rsplit("/", 1)[1]
-        yield pa.RecordBatch.from_arrays([*lowest, pa.array([len(offsets) - 1]), pa.array([total]), pa.array([width]), pa.array([name])], names=["lowest", "hash", "row", "n_docs", "n_tokens", "width", "name"])
+        yield pa.RecordBatch.from_arrays([lowest, pa.array([len(offsets) - 1]), pa.array([total]), pa.array([width]), pa.array([name])], names=["part", "n_docs", "n_tokens", "width", "name"])
 
-    order = ["id", "hash", "row"]
-    dealt = encoded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    done = dealt.mapInArrow(write, f"lowest {kind}, hash long, row long, n_docs long, n_tokens long, width string, name string").collect()
+    dealt = encoded.repartitionById(len(bounds.value) + 1, F.col("part")).sortWithinPartitions("part", "id", "hash")
+    done = dealt.mapInArrow(write, "part int, n_docs long, n_tokens long, width string, name string").collect()
     parts, doc, token = [], 0, 0
-    for k, r in enumerate(sorted(done, key=lambda r: ((0,) if r["lowest"] is None else (1, r["lowest"]), r["hash"], r["row"]))):
+    for k, r in enumerate(sorted(done, key=lambda r: r["part"])):
         parts.append((k, doc, token, r["n_docs"], r["n_tokens"], r["width"], r["name"]))
         doc, token = doc + r["n_docs"], token + r["n_tokens"]
     manifest = spark.createDataFrame(parts, "part int, base_doc long, base_token long, n_docs long, n_tokens long, width string, name string")
