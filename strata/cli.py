@@ -1,4 +1,4 @@
-"""``python -m strata.cli -c job.json -j 4``: runs a configured job. Exit status 0, 1 (bad arguments) or 2 (the job failed)."""
+"""``python -m strata.cli -c job.json -j 4``: runs a configured job. Exit status 0, 1 (bad arguments, or the job failed) or 2 (no configuration that can be read)."""
 
 from __future__ import annotations
 
@@ -29,18 +29,22 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if not given.config:
         print("No configuration file given", file=sys.stderr)
-        return 1
+        return 2
     from pyspark.sql import SparkSession
 
     began = time.time()
     try:
         config = load(given.config)
+    except (OSError, ValueError) as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return 2
+    try:
         threads = given.parallel or config.get("max_concurrency", int, None) or "*"
         spark = SparkSession.builder.master(f"local[{threads}]").appName("strata").getOrCreate()
         print(run(spark, config.values, given.path).hierarchy())
     except Exception as e:
         print(f"Error: {e}", file=sys.stderr)
-        return 2
+        return 1
     use = resource.getrusage(resource.RUSAGE_SELF)
     print(f"driver CPU {use.ru_utime + use.ru_stime:.1f} s, wall {time.time() - began:.1f} s, max RSS {use.ru_maxrss / 1024:.0f} MB")
     return 0

@@ -97,7 +97,8 @@ def build(spark: SparkSession, config: Configuration, search: list[str] | None =
             graph.output(label, store.sink, when=gates or ())
             continue
         module = _module(label, spec, search or [])
-        proxy = graph.proxy(label, {n: gates for n in spec.get("gated", [])} if gates else None)
+        # a module's gate holds for all its nodes, or for those it lists as ``gated``
+        proxy = graph.proxy(label, {n: gates for n in spec["gated"]} if gates and "gated" in spec else gates)
         module.register_algorithms(proxy, part)
     by_name = {}
     for label, spec in config.get("sources", dict, {}).items():

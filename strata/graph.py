@@ -22,7 +22,8 @@ class Graph:
 
     Errors of registration are collected and raised by ``execute``; an empty name
     is refused at once. ``plugin`` becomes the first half of the names of nodes
-    registered through it, ``when`` (by node name) overrides their gates.
+    registered through it, ``when`` (by node name, or one list for all of them)
+    overrides their gates.
     """
 
     def __init__(self, spark: SparkSession, driver: Driver | None = None):
@@ -46,7 +47,7 @@ class Graph:
         self.driver = driver
         return self
 
-    def proxy(self, plugin: str, when: dict[str, list[str]] | None = None) -> Module:
+    def proxy(self, plugin: str, when: dict[str, list[str]] | list[str] | None = None) -> Module:
         return Module(self, plugin, when or {})
 
     def _add(self, node: Node) -> Node:
@@ -120,7 +121,7 @@ class Graph:
 class Module:
     """Registers nodes under a plugin's name."""
 
-    def __init__(self, graph: Graph, plugin: str, when: dict[str, list[str]]):
+    def __init__(self, graph: Graph, plugin: str, when: dict[str, list[str]] | list[str]):
         self._graph, self._plugin, self._when = graph, plugin, when
 
     def __getattr__(self, kind: str):
@@ -129,11 +130,17 @@ class Module:
         register = getattr(self._graph, kind)
 
         def call(name: str, *args, **more):
-            if kind != "provide" and name in self._when:
-                more["when"] = tuple(self._when[name])
+            if kind != "provide" and (gates := self._gates(name)) is not None:
+                more["when"] = tuple(gates)
             return register(f"{self._plugin}:{name}" if name and self._plugin else name, *args, **more)
 
         return call
 
+    def _gates(self, name: str) -> list[str] | None:
+        if isinstance(self._when, dict):
+            return self._when.get(name)
+        # a predicate can't wait for itself
+        return None if {name, f"{self._plugin}:{name}"} & set(self._when) else self._when
+
     def source(self, name: str, *args, **more) -> Source:
         return self._graph.source(name, *args, **more)

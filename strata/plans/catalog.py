@@ -499,6 +499,8 @@ def _folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return f"{given.rstrip('/')}/strata/store-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="strata-store-")
     atexit.register(shutil.rmtree, made, True)
     return f"file://{made}/store"

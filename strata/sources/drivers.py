@@ -66,15 +66,20 @@ class LayerGenerator(Driver):
     def add_layer(self, name: str, parent: str = "job", count: int = 1, start_at: int = 0) -> LayerGenerator:
         if count < 0:
             raise ConfigurationError(f"Layer '{name}' cannot have a negative number of cells")
-        parents = [("job",)] if parent == "job" else [p for p in (*self._layers, *self._waiting) if p[-1] == parent]
+        # a name, or the end of a path (from the job on if it begins with a slash)
+        tail = tuple(parent.strip("/").split("/"))
+        whole = parent.startswith("/")
+        parents = [("job",)] if tail == ("job",) else [p for p in (*self._layers, *self._waiting) if (p == tail if whole else p[-len(tail) :] == tail)]
         if len(parents) > 1:
             a, b = ("/" + "/".join(p) for p in sorted(parents)[:2])
             raise ConfigurationError(f"Ambiguous: two parent layers found for data layer '{name}': {a} and {b}; name the parent's whole path")
         known = not parents or parents[0][0] == "job"
-        path = (*(parents[0] if parents else (parent,)), name)
+        path = (*(parents[0] if parents else tail), name)
         (self._layers if parents and known else self._waiting)[path] = count, start_at
-        for p in [p for p in self._waiting if p[0] == name and p != path]:  # what waited for this parent
-            (self._layers if path[0] == "job" else self._waiting)[(*path, *p[1:])] = self._waiting.pop(p)
+        for p in list(self._waiting):  # what waited for this parent, by the end of its path
+            n = next((n for n in range(len(p) - 1, 0, -1) if path[-n:] == p[:n]), 0)
+            if n and p != path:
+                (self._layers if path[0] == "job" else self._waiting)[(*path, *p[n:])] = self._waiting.pop(p)
         return self
 
     @classmethod
@@ -87,7 +92,7 @@ class LayerGenerator(Driver):
 
     def _check(self) -> None:
         if self._waiting:
-            missing = sorted({p[0] for p in self._waiting})
+            missing = sorted({"/".join(p[:-1]) for p in self._waiting})
             raise ConfigurationError(f"No parent layer found with the name {missing[0]!r}")
 
     def counts(self, spark=None) -> dict[LayerPath, int]:

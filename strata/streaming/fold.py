@@ -2,9 +2,11 @@
 
 The stream carries data rows and announcements. An announcement says how many
 cells a partition has below it; the partition's result is emitted once so many
-have been seen, in whatever order rows and announcements come, and its state is
-dropped. Several announcements add up. State is three numbers a partition that
-is still open.
+have been seen, in whatever order rows and announcements come. A partition that several
+sources announce (layers below it, or parts of the stream) waits for as many
+announcements as it is told of; they add up. State is three numbers a partition
+that is still open and a flag for a closed one: what comes later than its result
+is an error, and never a second result.
 """
 
 from __future__ import annotations
@@ -17,27 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    total, seen, expected, initial = state.get if state.exists else (0.0, 0, 0, None)
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, announcements: int = 1) -> Iterator[pd.DataFrame]:
+    total, seen, expected, said_so_far = state.get if state.exists else (0.0, 0, 0, 0)
+    closed = said_so_far < 0
     for f in frames:
         data = f[f["announced"].isna()]
         total += float(data["value"].sum())
         seen += len(data)
         said = f["announced"].dropna()
-        if len(said):
-            expected += int(said.sum())
-            initial = 1
-    if initial is not None and seen >= expected:
-        state.remove()
+        if closed and (len(data) or said.sum()):
+            raise ValueError(f"partition {key} is closed, and more came for it")
+        expected += int(said.sum())
+        said_so_far += len(said)
+    if closed:
+        return
+    if said_so_far >= announcements and seen >= expected:
+        state.update((0.0, 0, 0, -1))
         yield pd.DataFrame([[*key, total, seen]])
     else:
-        state.update((total, seen, expected, initial))
+        state.update((total, seen, expected, said_so_far))
 
 
-def announced_fold(rows: DataFrame, keys: list[str], value: str = "value", announced: str = "announced", initial: float = 0.0) -> DataFrame:
+def announced_fold(rows: DataFrame, keys: list[str], value: str = "value", announced: str = "announced", initial: float = 0.0, announcements: int = 1) -> DataFrame:
     """Sum and count of ``value`` for each key tuple of a stream.
 
     Rows with a null ``announced`` are data; the others announce so many cells.
+    A result waits for ``announcements`` of these.
     A partition announced with no cells gives the initial value.
     """
     kinds = dict(rows.dtypes)
@@ -45,7 +52,7 @@ def announced_fold(rows: DataFrame, keys: list[str], value: str = "value", annou
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", total double, number long"
 
     def step(key, frames, state):
-        for f in _step(key, frames, state):
+        for f in _step(key, frames, state, announcements):
             f.columns = [*keys, "total", "number"]
             f["total"] += initial
             yield f

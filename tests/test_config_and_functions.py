@@ -52,6 +52,10 @@ def test_configured_job(spark, plugin):
 def test_gates_of_configuration(spark, plugin):
     job = JOB | {"modules": {"add": JOB["modules"]["add"] | {"experimental_when": ["add:even"], "gated": ["shift"]}}}
     assert run(spark, job).execution_count("add:shift") == 5
+    whole = JOB | {"modules": {"add": JOB["modules"]["add"] | {"experimental_when": ["add:even"]}}}
+    done = run(spark, whole)  # every node of the module but the predicate itself
+    assert done.execution_count("add:shift") == 5 and done.execution_count("add:even") == 10
+    assert done.result("add:total").first().value == 2 + 4 + 6 + 8 + 10 + 5 * 5
 
 
 def test_configuration_errors(spark, plugin):
@@ -75,7 +79,7 @@ def test_getters():
 
 def test_command_line(tmp_path, capsys, plugin, spark):
     assert cli.main(["--version"]) == 0 and cli.main(["-h"]) == 0
-    assert cli.main([]) == 1 and cli.main(["-j", "x"]) == 1
+    assert cli.main([]) == 2 and cli.main(["-j", "x"]) == 1
     job = tmp_path / "job.json"
     job.write_text(json.dumps(JOB))
     assert cli.main(["-c", str(job), "-j", "4"]) == 0

@@ -419,3 +419,13 @@ def test_parents_without_a_table(spark):
     assert sorted(map(tuple, g.execute().result("n").collect())) == [(1, 2), (2, 1)]
     with pytest.raises(ConfigurationError, match="needs 2 key columns"):
         TableDriver().add("a/b", df, ["u"])
+
+
+def test_layer_parents_may_be_paths(spark):
+    for path in ("run/spill", "/job/run/spill", "job/run/spill"):
+        made = LayerGenerator().add_layer("run", count=2).add_layer("spill", "run", 3).add_layer("spill", "job", 5).add_layer("chip", path, 4)
+        assert made.emitted_cell_count("/job/run/spill/chip") == 24
+    later = LayerGenerator().add_layer("chip", "run/spill", 4).add_layer("spill", "run", 3).add_layer("run", count=2)
+    assert later.emitted_cell_count("/job/run/spill/chip") == 24
+    with pytest.raises(ConfigurationError, match="No parent layer found with the name 'run/spill'"):
+        LayerGenerator().add_layer("run", count=2).add_layer("chip", "run/spill", 4).counts()

@@ -35,8 +35,18 @@ def test_announced_fold_takes_any_order(spark, tmp_path):
         spark.createDataFrame([r], "k long, value double, announced long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema("k long, value double, announced long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     got = sorted(map(tuple, drain(announced_fold(stream, ["k"]), tmp_path, "folded")))
-    assert [g for g in got if g[0] != 5] == [(1, 5.0, 2), (2, 7.0, 1), (3, 0.0, 0)]  # 4 is still open
-    assert (5, 1.0, 1) in got
+    assert got == [(1, 5.0, 2), (2, 7.0, 1), (3, 0.0, 0), (5, 1.0, 1)]  # 4 is still open
+
+
+def test_announced_fold_waits_for_all_announcements(spark, tmp_path):
+    rows = [(1, 1.0, None), (1, 2.0, None), (1, None, 2), (1, None, 1), (1, 2.0, None), (2, None, 1), (2, 4.0, None)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "k long, value double, announced long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("k long, value double, announced long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = sorted(map(tuple, drain(announced_fold(stream, ["k"], announcements=2), tmp_path, "waiting")))
+    assert got == [(1, 5.0, 3)]  # 2 waits for another announcement
+    with pytest.raises(Exception, match="is closed"):
+        drain(announced_fold(stream, ["k"]), tmp_path, "late")
 
 
 def test_stream_equals_batch(spark, tmp_path):
