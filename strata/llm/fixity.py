@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from strata.llm.common import stored
 
 FANOUT = 256
-LEVELS = 4
 
 
 def record_header(url: str, body: str) -> Column:
@@ -48,7 +47,7 @@ def with_offsets(recs: DataFrame, span: int = 1 << 16) -> DataFrame:
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = totals.join(F.broadcast(blocks), "__block").select("__range", (F.col("__start") + F.coalesce(F.sum("__total").over(within), F.lit(0))).alias("__base"))
+    ranges = totals.join(blocks, "__block").select("__range", (F.col("__start") + F.coalesce(F.sum("__total").over(within), F.lit(0))).alias("__base"))
     each = Window.partitionBy("__range").orderBy("position", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return part.join(ranges, "__range").select("position", "length", "digest", (F.col("__base") + F.coalesce(F.sum("length").over(each), F.lit(0))).cast("long").alias("offset"))
 
@@ -72,16 +71,20 @@ def level_above(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(_hash_of(listed[0]).alias("hash"), _hash_of(listed[1]).alias("other_hash"))
 
 
-def trees(archive: DataFrame, replica: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> list[DataFrame]:
-    """Both sides' levels from the leaves to the roots (one root where positions stay below fanout ** levels)."""
+def trees(archive: DataFrame, replica: DataFrame, levels: int | None = None, fanout: int = FANOUT) -> list[DataFrame]:
+    """Both sides' levels from the leaves to the root. ``levels``: None for as many as the largest position takes."""
     out = [stored(leaves(archive, replica), "level0")]
+    if levels is None:
+        largest, levels = out[0].agg(F.max("node")).first()[0] or 0, 1
+        while fanout**levels <= largest:
+            levels += 1
     for k in range(levels):
         out.append(stored(level_above(out[-1], fanout), f"level{k + 1}"))
     return out
 
 
 def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """node, hash, other_hash of the leaves that differ, found from the roots down: a level is read only below nodes that differ."""
+    """node, hash, other_hash of the leaves that differ, found from the root down: of each level only the nodes below differing ones are compared (the level's own table is scanned for them)."""
     found = None
     for level in reversed(levels):
         if found is not None:
@@ -90,7 +93,7 @@ def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     return found
 
 
-def audit(archive: DataFrame, replica: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
+def audit(archive: DataFrame, replica: DataFrame, levels: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """position, offset, length, digest, status of every record of either side: intact, altered, missing (from the replica) or added (to it).
 
     Offset and length are the archive's; both are null for added records.

@@ -40,6 +40,16 @@ def test_roots_agree_only_if_all_agrees(spark):
     assert top[0].hash != top[0].other_hash
 
 
+def test_large_and_sparse_positions_have_one_root(spark):
+    rows = [(i * 7_919_000_000 + 3, "u", str(i)) for i in range(40)]
+    df = pages(spark, rows)
+    top = fx.trees(fx.records(df), fx.records(df))[-1].collect()
+    assert len(top) == 1 and top[0].node == 0
+    other = pages(spark, [(i, u, "x" if h == "17" else h) for i, u, h in rows])
+    got = [(r.position, r.status) for r in fx.audit(df, other).orderBy("position").collect()]
+    assert [s for _, s in got] == ["altered" if i == 17 else "intact" for i in range(40)]
+
+
 def test_empty_archives(spark):
     df = pages(spark, [(1, "u", "h")])
     none = df.where("false")
