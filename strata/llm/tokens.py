@@ -51,6 +51,7 @@ class ChunkEncoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.by_chunk: dict[str, bytes] = {}
+        self.by_word: dict[str, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -98,39 +99,54 @@ class ChunkEncoder:
                 self.by_piece[piece] = got
         return got
 
-    def _new_chunk(self, chunk: str) -> bytes:
-        if self.pattern is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk that isn't remembered."""
+        text = chunk
+        if self.normalizer is not None:
+            normalizer, plain = self.normalizer
+            text = chunk.lower() if plain and chunk.isascii() else normalizer.normalize_str(chunk) if normalizer else chunk
+        core = text.rstrip(_MARKS)
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):  # one word, and marks behind it: what the pattern would find
+            out = [self._piece(core if self.spaces else core.lstrip(" "))]
+            if len(core) < len(text):
+                out.append(self._piece(text[len(core) :]))
         else:
-            text = chunk
-            if self.normalizer is not None:
-                normalizer, plain = self.normalizer
-                text = chunk.lower() if plain and chunk.isascii() else normalizer.normalize_str(chunk) if normalizer else chunk
-            core = text.rstrip(_MARKS)
-            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):  # one word, and marks behind it: what the pattern would find
-                out = [self._piece(core if self.spaces else core.lstrip(" "))]
-                if len(core) < len(text):
-                    out.append(self._piece(text[len(core) :]))
-            else:
-                out = list(map(self._piece, self.pattern.findall(text)))
-            ids = out[0] if len(out) == 1 else b"".join(out)
-        if len(chunk) <= REMEMBERED_CHARS and len(self.by_chunk) < REMEMBERED:
-            self.by_chunk[chunk] = ids
-        return ids
+            out = list(map(self._piece, self.pattern.findall(text)))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _chunk(self, chunk: str) -> bytes:
+        got = self.by_chunk.get(chunk)
+        if got is None:
+            got = self._ids(chunk)
+            if len(chunk) <= REMEMBERED_CHARS and len(self.by_chunk) < REMEMBERED:
+                self.by_chunk[chunk] = got
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """Ids of the chunk of a space and ``word``, remembered without the space, so that a split text needs no new strings."""
+        got = self.by_word.get(word)
+        if got is None:
+            got = self._ids(" " + word)
+            if len(word) < REMEMBERED_CHARS and len(self.by_word) < REMEMBERED:
+                self.by_word[word] = got
+        return got
 
     def encode_one(self, text: str | None) -> bytes:
         """Ids of a text (None: empty) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.added is not None and self.added.search(text):
+        if self.pattern is None or self.added is not None and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = self.chunks(text)
-        found = list(map(self.by_chunk.get, parts))
+        words = text.split(" ")
+        found = list(map(self.by_word.get, words))
+        found[0] = self._chunk(words[0])
         if None in found:
-            new = self._new_chunk
             for i, x in enumerate(found):
                 if x is None:
-                    found[i] = self.by_chunk.get(parts[i]) or new(parts[i])
+                    word = words[i]
+                    if not word or word[0].isspace():  # never remembered as a word: spaces that chunks don't begin with
+                        return b"".join(map(self._chunk, self.chunks(text)))
+                    found[i] = self._word(word)
         return b"".join(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
