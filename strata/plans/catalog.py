@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import array_sum, clamp, date_text, elementwise_sum, ordinal_text, python, repeat, rms, square, square_sum
+from strata.functions import array_sum, clamp, date_text, elementwise_sum, ordinal_text, python, repeat, rms, square, square_sum, vector_add
 from strata.graph import Graph
 from strata.names import Selector
 from strata.operators import chunks, iota, items, steps
@@ -255,6 +255,56 @@ def fold_by_type(spark, sf_dir):
     return df.groupBy("event_type").agg(F.countDistinct("k_user").alias("k_user_count"), F.sum("cents").alias("total"))
 
 
+@_query(_with_lines("select o_orderkey as k_order, cast(2 * coalesce(sum(quantity), 0) + 1 as bigint) as value from orders left join l on o_orderkey = l_orderkey group by 1"))
+def fold_finish(spark, sf_dir):
+    g = _orders(spark, sf_dir)
+    g.fold("total", F.sum, inputs=[_line("quantity")], partition="order", finish=lambda v: v * 2 + 1)
+    return g.execute().result("total")
+
+
+@_query(_with_lines("select o_orderkey as k_order, cast(coalesce(sum(quantity), 0) as bigint) as total, cast(coalesce(max(cents), 0) as bigint) as largest, count(quantity) as number from orders left join l on o_orderkey = l_orderkey group by 1"))
+def fold_array_valued(spark, sf_dir):
+    g = _orders(spark, sf_dir)
+    g.fold("three", lambda q, c: F.array(F.sum(q), F.max(c), F.count(q)), inputs=[_line("quantity"), _line("cents")], partition="order", initial=[0, 0, 0])
+    g.transform("parts", lambda a: tuple(F.get(a, k).cast("long") for k in range(3)), inputs=[S("order", "three")], outputs=["total", "largest", "number"])
+    return g.execute().result("parts")
+
+
+@_query("""with c as (select c_nationkey as n, c_custkey as c, count(o_orderkey) as orders from customer left join orders on o_custkey = c_custkey group by 1, 2)
+select n_nationkey as k_nation, cast(coalesce(sum(orders * orders), 0) as bigint) as value from nation left join c on n = n_nationkey group by 1""")
+def fold_tree(spark, sf_dir):
+    """Reduction layer by layer: orders of a customer, then squares of those numbers over a nation."""
+    t = _tables(spark, sf_dir)
+    orders = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    driver = TableDriver().add("nation", t("nation"), ["n_nationkey"]).add("nation/customer", t("customer"), ["c_nationkey", "c_custkey"])
+    g = Graph(spark, driver.add("nation/customer/order", orders, ["c_nationkey", "o_custkey", "o_orderkey"]))
+    g.provide("one", lambda c: F.lit(1).cast("long"), creator="orders", layer="order")
+    g.fold("number", F.sum, inputs=[S("order", "orders")], partition="customer")
+    g.transform("squared", square, inputs=[S("customer", "number")])
+    g.fold("squares", F.sum, inputs=[S("customer", "squared")], partition="nation")
+    return g.execute().result("squares")
+
+
+@_query("select c_nationkey as k_buyers, count(*) as value from customer group by 1")
+def fold_excluded_cells(spark, sf_dir):
+    """Cells of the folded layer's name that aren't below the partition don't count."""
+    t = _tables(spark, sf_dir)
+    driver = TableDriver().add("buyers/party", t("customer").withColumn("g", F.col("c_nationkey")), ["g", "c_custkey"]).add("sellers/party", t("supplier").withColumn("g", F.col("s_nationkey")), ["g", "s_suppkey"])
+    g = Graph(spark, driver)
+    g.provide("one", lambda c: F.lit(1).cast("long"), creator="parties", layer="party")
+    g.fold("parties_total", F.sum, inputs=[S("party", "parties")], partition="buyers")
+    return g.execute().result("parties_total")
+
+
+@_query("select user_id as k_user, event_id as k_event, cast(sum(cast(round(value * 100) as bigint)) over (partition by user_id) - cast(round(value * 100) as bigint) as bigint) as value from events")
+def fold_back_to_members(spark, sf_dir):
+    """What a fold made of a layer meets that layer's own cells again."""
+    g = _events(spark, sf_dir)
+    g.fold("total", F.sum, inputs=[_event("value")], partition="user")
+    g.transform("rest", lambda t, v: t - v, inputs=[S("user", "total"), _event("value")])
+    return g.execute().result("rest")
+
+
 # --- predicates and gates ---
 
 
@@ -326,6 +376,58 @@ def gated_fold(spark, sf_dir):
     return g.execute().result("total")
 
 
+_THIRD = ("third", lambda n: n % 3 == 0, "number")
+
+
+@_query(_EVENTS + "event_id % 6 = 0")
+def gate_series_some(spark, sf_dir):
+    return _gated(spark, sf_dir, "third", predicates=[_EVEN, (*_THIRD, ("even",))])
+
+
+@_query(_EVENTS + "event_id % 6 = 0")
+def gate_parallel_some(spark, sf_dir):
+    return _gated(spark, sf_dir, "even", "third", predicates=[_EVEN, (*_THIRD, ())])
+
+
+@_query("select user_id as k_user, event_id as k_event, event_id % 3 = 0 as decision from events where event_id % 2 = 0")
+def gate_decisions(spark, sf_dir):
+    """A gated predicate decides only where its gate holds."""
+    g = _events(spark, sf_dir)
+    g.predicate("even", _EVEN[1], inputs=[_event("number")])
+    g.predicate("third", _THIRD[1], inputs=[_event("number")], when=["even"])
+    return g.execute().result("third")
+
+
+@_query("select 'kept' as node, count(*) as runs from events where event_id % 2 = 0 union all select 'even', count(*) from events union all select 'total', count(*) from events where event_id % 2 = 0")
+def counted_executions(spark, sf_dir):
+    g = _events(spark, sf_dir)
+    g.predicate("even", _EVEN[1], inputs=[_event("number")])
+    g.transform("kept", lambda v: v, inputs=[_event("value")], when=["even"])
+    g.fold("total", F.sum, inputs=[_event("value")], partition="user", when=["even"])
+    run = g.execute()
+    return spark.createDataFrame([(n, run.execution_count(n)) for n in ("kept", "even", "total")], "node string, runs long")
+
+
+# --- selection ---
+
+
+@_query("select user_id as k_user, event_id as k_event, cast(round(value * 100) as bigint) - 3 * event_id as value from events")
+def select_by_creator(spark, sf_dir):
+    """Products of one suffix and layer, told apart by their creators."""
+    g = _events(spark, sf_dir)
+    g.provide("tripled", lambda c: c.number * 3, creator="others", suffix="value", layer="event")
+    g.transform("less", lambda a, b: a - b, inputs=[_event("value"), S("event", "others", "value")])
+    return g.execute().result("less")
+
+
+@_query("select user_id as k_user, event_id as k_event, concat(cast(user_id as varchar), '/', cast(event_id as varchar), '=', cast(cast(round(value * 100) as bigint) as varchar)) as value from events")
+def argument_handle(spark, sf_dir):
+    """An argument taken as a handle brings its cell's keys."""
+    g = _events(spark, sf_dir)
+    g.transform("told", lambda h: F.concat(h["k_user"].cast("string"), F.lit("/"), h["k_event"].cast("string"), F.lit("="), h["value"].cast("string")), inputs=[S("event", "events", "value", handle=True)])
+    return g.execute().result("told")
+
+
 # --- unfolds ---
 
 
@@ -396,9 +498,55 @@ def unfold_python(spark, sf_dir):
     return g.execute().result("count_down")
 
 
+@_query(f"select vec_id as k_vector, n as k_element, x, x * x as square from ({_ELEMENTS})")
+def unfold_multi_output(spark, sf_dir):
+    g = _vectors(spark, sf_dir)
+    g.unfold("both", lambda e: F.transform(e, lambda x: F.struct(x.alias("x"), (x * x).alias("square"))), inputs=[_vector("elements")], layer="element", outputs=["x", "square"])
+    return g.execute().result("both")
+
+
+@_query(f"select vec_id as k_vector, n as k_element, x + label as value from ({_ELEMENTS}) where n < label")
+def unfold_multi_input(spark, sf_dir):
+    g = _vectors(spark, sf_dir)
+    g.unfold("first", lambda e, n: F.transform(F.slice(e, 1, n.cast("int")), lambda x: x + n), inputs=[_vector("elements"), _vector("label")], layer="element")
+    return g.execute().result("first")
+
+
+@_query(f"with m as (select vec_id, ((x % 4) + 4) % 4 as m from ({_ELEMENTS})) select vec_id as k_vector, cast(sum(m * (m - 1) // 2) as bigint) as value from m group by 1")
+def unfold_chained(spark, sf_dir):
+    g = _vectors(spark, sf_dir)
+    g.unfold("elements", items, inputs=[_vector("elements")], layer="element")
+    g.unfold("count_up", lambda x: iota(F.pmod(x, F.lit(4))), inputs=[S("element", "elements")], layer="step")
+    g.fold("sum_up", F.sum, inputs=[S("step", "count_up")], partition="vector")
+    return g.execute().result("sum_up")
+
+
+@_query(f"select vec_id as k_vector, cast(sum(x) - any_value(label * (label - 1) // 2) as bigint) as value from ({_ELEMENTS}) group by 1")
+def unfold_siblings(spark, sf_dir):
+    """Two unfolds of one layer, folded back and compared there."""
+    g = _vectors(spark, sf_dir)
+    g.unfold("count_up", iota, inputs=[_vector("label")], layer="step")
+    g.unfold("elements", items, inputs=[_vector("elements")], layer="element")
+    g.fold("sum_up", F.sum, inputs=[S("step", "count_up")], partition="vector")
+    g.fold("sum_elements", F.sum, inputs=[S("element", "elements")], partition="vector")
+    g.transform("less", lambda a, b: a - b, inputs=[S("vector", "sum_elements"), S("vector", "sum_up")])
+    return g.execute().result("less")
+
+
 # --- functions ---
 
 
+@_query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(round(cast(x as double) * 1000) as bigint)) as e from embeddings)
+select vec_id as k_vector, e[1] + e[4] as x, e[2] + e[5] as y, e[3] + e[6] as z from v""")
+def struct_vector_add(spark, sf_dir):
+    g = _vectors(spark, sf_dir)
+    three = lambda e, at: F.struct(*(F.get(e, at + k).alias(n) for k, n in enumerate("xyz")))
+    g.transform("points", lambda e: (three(e, 0), three(e, 3)), inputs=[_vector("elements")], outputs=["a", "b"])
+    g.transform("summed", vector_add, inputs=[S("vector", "points", "a"), S("vector", "points", "b")])
+    g.transform("parts", lambda s: (s["x"], s["y"], s["z"]), inputs=[S("vector", "summed")], outputs=["x", "y", "z"])
+    return g.execute().result("parts")
+
+
 @_query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(round(cast(x as double) * 1000) as bigint)) as e from embeddings)
 select vec_id as k_vector, list_sum(list_transform(range(1, 65), lambda i: e[i] + e[65 - i]))::bigint as value from v""")
 def array_zip_add(spark, sf_dir):
@@ -506,9 +654,48 @@ def _folder(spark: SparkSession) -> str:
     return f"file://{made}/store"
 
 
+def _stored_totals(spark: SparkSession, sf_dir: str) -> ProductStore:
+    """Order prices, as an output stored them."""
+    store = ProductStore(spark, _folder(spark))
+    g = _orders(spark, sf_dir)
+    g.transform("price", lambda c: c, inputs=[_order("cents")])
+    g.output("keep", lambda name, path, frame: store.sink(name, path, frame) if name == "price" else None)
+    g.execute()
+    return store
+
+
+@_query("select o_orderkey as k_order, concat('[order:', cast(o_orderkey as varchar), ']') as cell_id, cast(round(o_totalprice * 100) as bigint) as value from orders")
+def output_stored(spark, sf_dir):
+    return _stored_totals(spark, sf_dir).read("price")
+
+
+@_query("select concat('[order:', cast(o_orderkey as varchar), ']') as cell_id from orders")
+def stored_indices(spark, sf_dir):
+    return _stored_totals(spark, sf_dir).indices("price")
+
+
+@_query("select o_orderkey as k_order, concat('[order:', cast(o_orderkey as varchar), ']') as cell_id, cast(round(o_totalprice * 100) as bigint) as value from orders where o_orderkey = 7")
+def stored_row(spark, sf_dir):
+    return _stored_totals(spark, sf_dir).row_of("price", "[order:7]")
+
+
+@_query("select 'value' as product, count(*) as row_number from orders where o_orderkey < 7")
+def stored_token(spark, sf_dir):
+    token = _stored_totals(spark, sf_dir).token("price", "value", "[order:7]")
+    return spark.createDataFrame([(token.product, token.row)], "product string, row_number long")
+
+
 # --- streaming ---
 
 
+@_query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n from events group by 1, 2")
+def windowed_event_counts(spark, sf_dir):
+    from strata.streaming.fold import windowed_counts
+
+    counts = windowed_counts(_tables(spark, sf_dir)("events"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
 @_query("select user_id, cast(sum(cast(round(value * 100) as bigint)) as double) as total, count(*) as number from events group by 1")
 def streaming_fold(spark, sf_dir):
     """The event values of each user, folded as a stream that announces each user's number of events."""
